@@ -19,6 +19,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -172,9 +173,11 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
                 ids, decoded = [], []
                 for text in _texts(part):
                     pieces = bpe.pieces(text)
-                    ids.append([int(i) for x in pieces for i in x[0].split(" ")])
+                    ids.append(np.array(" ".join([x[0] for x in pieces]).split(), np.int32))
                     decoded.append(" ".join([x[1] for x in pieces]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
