@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.runtime import written
+from quern.llm.runtime import in_arrow, written
 
 #: Vectors of a segment, queries of a block.
 SEGMENT, BLOCK = 16_384, 512
@@ -118,7 +118,7 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if n:
             yield row(True)
 
-    return rows.mapInArrow(pack, "ids binary, vs binary").withColumn(name, F.monotonically_increasing_id())
+    return in_arrow(rows, pack, "ids binary, vs binary").withColumn(name, F.monotonically_increasing_id())
 
 
 def search(
@@ -172,6 +172,6 @@ def search(
                 got = [held.search(int(i), q, k, max(1, int(share * PROJECTIONS))) for i, q in zip(qids, qs, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["query_id", "id", "score"])
 
-    found = pairs.select("segment", "qids", "qvs", "ids", "vs").sortWithinPartitions("segment").mapInArrow(run, result)
+    found = in_arrow(pairs.select("segment", "qids", "qvs", "ids", "vs").sortWithinPartitions("segment"), run, result)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.runtime import in_arrow
+
 SHORT = 200
 #: Words that a worker remembers before it starts afresh, and the longest word worth remembering.
 REMEMBERED = 400_000
@@ -180,7 +182,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,4 +200,4 @@ def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.runtime import in_arrow
+
 #: Elements whose start or end does not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -277,4 +279,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     keys = ("host", "path", "id")
     laid = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return laid.sortWithinPartitions(*keys).mapInArrow(compare, f"id {id_type}, url string, text string")
+    return in_arrow(laid.sortWithinPartitions(*keys), compare, f"id {id_type}, url string, text string")

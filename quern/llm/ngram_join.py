@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.runtime import written
+from quern.llm.runtime import in_arrow, written
 from quern.llm.shingles import WORDS, MinHash, jaccard, set_key, shingles
 
 SIMILARITY = 0.8
@@ -47,7 +47,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 low.append(minhash(s) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["id", "n", "key", "bands"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n int, key binary, bands array<long>")
+    return in_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, n int, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -66,7 +66,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    return found.mapInArrow(run, "rep long, set binary")
+    return in_arrow(found, run, "rep long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -78,7 +78,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             keep = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(both, run, "a long, b long").distinct()
 
 
 def compare_tile(block: np.ndarray, sets: list[np.ndarray], least: float, across: bool) -> np.ndarray:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.runtime import in_arrow
+
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 20_000
 #: Preferred documents that each rejected one is paired with.
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             x = _features(batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "quality", "x"])
 
-    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, quality int, x array<double>").toPandas()
+    got = in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, quality int, x array<double>").toPandas()
     got = got.sort_values(["id", "quality"], kind="stable")
     return learn(np.array(got["x"].tolist(), dtype=float).reshape(-1, N_FEATURES), got["quality"].to_numpy())
 
@@ -168,4 +170,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rest = docs.drop("score")
     rows = rest.withColumn("__text", F.col(text_col).cast("string"))
     schema = rest.schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)

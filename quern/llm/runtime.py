@@ -35,3 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/quern/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes that an Arrow batch on its way to Python holds at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches small enough for rows that hold whole texts. The session's limits
+    are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES``; lower ones stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (conf.get(key, None) or "").removesuffix("b").removesuffix("B")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)

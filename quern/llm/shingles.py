@@ -9,7 +9,7 @@ import xxhash
 
 #: Words of a shingle.
 WORDS = 5
-_REMEMBERED = 500_000
+_REMEMBERED = 150_000
 _U = np.uint64
 _MIX = [_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)]
 

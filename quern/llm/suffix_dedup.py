@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.runtime import written
+from quern.llm.runtime import in_arrow, written
 from quern.llm.shingles import mix
 
 LENGTH, GRAM = 400, 32
@@ -229,7 +229,7 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
                     ["id", "key", "first", "last", "anchor", "digest", "twice"],
                 )
 
-    every = written(texts.mapInArrow(cut, f"id {id_type}, key binary, first long, last long, anchor long, digest binary, twice boolean"))
+    every = written(in_arrow(texts, cut, f"id {id_type}, key binary, first long, last long, anchor long, digest binary, twice boolean"))
     anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor"))
     small = _fits(anchors, 32, broadcast_bytes)
     open_runs = every.join(F.broadcast(anchors) if small else anchors, "anchor", "left_semi")
@@ -275,7 +275,7 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
             ["id", "key", "first", "anchor", "share", "digest", "n", "data", "places"],
         )
 
-    laid = found.mapInArrow(contexts, f"id {id_type}, key binary, first long, anchor long, share int, digest binary, n long, data binary, places binary").repartition("anchor", "share")
+    laid = in_arrow(found, contexts, f"id {id_type}, key binary, first long, anchor long, share int, digest binary, n long, data binary, places binary").repartition("anchor", "share")
 
     def compare(batches):
         index, seen, firsts, counts, alone, ids, text_keys, places_of, pending = LogIndex(), set(), [], [], [], [], [], [], []
@@ -322,7 +322,7 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
                     o.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], id_arrow), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["id", "key", "start", "end"])
 
-    return whole.unionByName(laid.mapInArrow(compare, f"id {id_type}, key binary, start long, end long"))
+    return whole.unionByName(in_arrow(laid, compare, f"id {id_type}, key binary, start long, end long"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = False) -> DataFrame:
@@ -357,4 +357,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_text, names + ["kept"] * with_text)
 
-    return full.mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return in_arrow(full, run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
