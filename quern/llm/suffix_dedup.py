@@ -16,7 +16,8 @@ for every 185 bytes:
 
 Step 3 is dealt by anchor. An anchor with many different runs is dealt by anchor and a share of the
 window fingerprints, so that a passage which a third of all documents quote is spread over tasks.
-Location tables meet texts by broadcast only up to ``BROADCAST_BYTES``, else by a shuffle.
+Texts are shuffled twice, to meet the edges and to meet the spans, and runs once; the anchors that
+occur again are broadcast to the runs up to ``BROADCAST_BYTES``, beyond that they meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -242,9 +243,6 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     edges = kinds.join(groups, "anchor").select("at.*", "anchor", "digest", "n", "shares")
     per_text = written(edges.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last", "anchor", "digest", "n", "shares")).alias("runs")))  # one text's runs
     wanted = per_text.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "runs")
-    n_edges = per_text.agg(F.sum(F.size("runs"))).first()[0] or 0
-    if n_edges * 96 <= broadcast_bytes:
-        wanted = F.broadcast(wanted)
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("id", "key", "t", "runs")
 
     def contexts(batches):
