@@ -12,10 +12,11 @@ Largest inner product becomes smallest distance by one more coordinate: with ``M
 ``x`` turns into ``(x, sqrt(M^2 - |x|^2))`` and a query into ``(q, 0)``. Scores are inner products of
 the original vectors in double precision.
 
-Distribution: vectors are packed into segments of at most ``SEGMENT`` rows and queries into blocks
-of at most ``BLOCK``; each (segment, block) is one row of a join on the segment's number, so the
+Distribution: vectors are packed into segments of about ``SEGMENT`` rows and queries into blocks
+of about ``BLOCK``; each (segment, block) is one row of a join on the segment's number, so the
 stated query set meets all rows in blocks of bounded size. A segment returns its own best k for each
-query and the best k of those are the answer; equal vectors fall to segments by row and are spread.
+query and the best k of those are the answer; rows fall to segments by a hash of the
+id, so equal vectors are spread.
 """
 
 from __future__ import annotations
@@ -92,33 +93,34 @@ def usable(vector):
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows ``id, v`` packed into ``name long, ids binary, vs binary`` of at most ``size`` vectors."""
+def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows ``id, v`` packed into ``parts`` rows ``name long, ids binary, vs binary``, by a hash of the
+    id, so that equal vectors are spread. How many there are does not depend on the partitions."""
 
     def pack(batches):
-        ids, vs, n = [], [], 0
-
-        def row(final=False):
-            nonlocal ids, vs, n
-            a, v = np.concatenate(ids), np.concatenate(vs)
-            out = []
-            while len(a) >= size or final and len(a):
-                out.append((a[:size].tobytes(), np.ascontiguousarray(v[:size]).tobytes()))
-                a, v = a[size:], v[size:]
-            ids, vs, n = ([a], [v], len(a)) if len(a) else ([], [], 0)
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["ids", "vs"])
+        now, ids, vs = None, [], []
 
-        for batch in batches:
-            if batch.num_rows:
-                ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                vs.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                n += batch.num_rows
-            if n >= size:
-                yield row()
-        if n:
-            yield row(True)
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vs).tobytes()], pa.binary())], ["ids", "vs"])
 
-    return in_arrow(rows, pack, "ids binary, vs binary").withColumn(name, F.monotonically_increasing_id())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(2).to_numpy(zero_copy_only=False)
+            id_, v = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if ids and part[lo] != now:
+                    yield row()
+                    ids, vs = [], []
+                now = part[lo]
+                ids.append(id_[lo:hi])
+                vs.append(v[lo:hi].copy())
+        if ids:
+            yield row()
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("part", "id")
+    return in_arrow(dealt, pack, "ids binary, vs binary").withColumn(name, F.monotonically_increasing_id())
 
 
 def search(
@@ -150,10 +152,8 @@ def search(
     n_parts = max(1, -(-most["n"] // segment))
     double = rows.schema["v"].dataType.elementType.typeName() == "double"
     kind = np.float64 if double else np.float32
-    # dealt by a hash of the id, so that equal vectors are spread and a segment is the same on every run
-    segments = written(_packed(rows.repartition(n_parts, F.xxhash64("id")).sortWithinPartitions("id"), segment, "segment"))
-    queries = rows.where(F.col("id") % every == 0)
-    blocks = _packed(queries.repartition(max(1, -(-most["n"] // (every * block))), F.xxhash64("id")).sortWithinPartitions("id"), block, "block").select(F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+    segments = written(_packed(rows, n_parts, "segment"))
+    blocks = _packed(rows.where(F.col("id") % every == 0), max(1, -(-most["n"] // (every * block))), "block").select(F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
     numbers = [r["segment"] for r in segments.select("segment").collect()]  # one number for each ``segment`` rows
     meetings = blocks.withColumn("segment", F.explode(F.array(*map(F.lit, numbers)))) if len(numbers) <= 1000 else blocks.crossJoin(segments.select("segment"))
     pairs = meetings.repartition(max(1, len(numbers)), "segment").join(segments, "segment")
