@@ -17,7 +17,7 @@ CJK = "[一-鿿]"
 CODE_ENDINGS = ("{", "}", ";", ":", '"""', "'''")
 
 #: A sentence with the white space around it: up to closing punctuation before a space, or the end.
-ENGLISH_SENTENCE = r"(?s)(\s*\S.*?(?:[.!?]+[\"')\]]*\s+|\z))"
+ENGLISH_SENTENCE = r"(?sU)(\s*\S.*?(?:[.!?]+[\"')\]]*\s+|\z))"
 #: A Chinese clause with the delimiters behind it. Pieces tile the text.
 CHINESE_SENTENCE = "(?U)((?:^[。？！；\\s]*)?[^。？！；\\s][^。？！；\n]*[。？！；\\s]*)"
 

@@ -107,13 +107,14 @@ def drop_order(sentences: Column, scores: Column, kept: Column, context_type: Co
     return F.transform(F.array_sort(keyed), lambda x: x["i"])
 
 
-def trim(sentences: Column, n_tokens: Column, scores: Column, kept: Column, target: Column, separator: Column, separator_tokens: Column, context_type: Column, counter: TokenCounter) -> Column:
+def trim(sentences: Column, n_tokens: Column, scores: Column, kept: Column, target: Column, separator: Column, separator_tokens: Column, context_type: Column, counter: TokenCounter, order: Column | None = None) -> Column:
     """Kept indexes after the joined text has been held against the budget.
 
     Nothing changes for a budget of 0 or less, a single sentence, or a text that fits. Else sentences go
-    in ``drop_order`` until both the estimate and the count of the joined text fit, or one is left."""
+    in ``drop_order`` until both the estimate and the count of the joined text fit, or one is left. Counters in
+    Python want the ``order`` as a column that is already computed."""
     if not counter.native:
-        return _trim_in_python(counter)(sentences, n_tokens, kept, target, separator, separator_tokens, drop_order(sentences, scores, kept, context_type))
+        return _trim_in_python(counter)(sentences, n_tokens, kept, target, separator, separator_tokens, drop_order(sentences, scores, kept, context_type) if order is None else order)
     return bind(lambda *v: _trim(*v, counter), sentences, n_tokens, scores, kept, target, separator, separator_tokens, context_type)
 
 

@@ -17,7 +17,7 @@ from quern.functions.prompt import context_room
 from quern.functions.text import boosted, output_separator, split_context
 from quern.functions.tokens import RegexTokenCounter, TokenCounter
 from quern.operators.chunk import chunk_sentences
-from quern.operators.select import bind, join_kept, let, resolve_budget, select_budget, select_threshold, total, trim
+from quern.operators.select import bind, drop_order, join_kept, let, resolve_budget, select_budget, select_threshold, total, trim
 from quern.plans.options import CompressOptions, EngineConfig
 from quern.plans.providers import LexicalProvider, ScoreProvider
 
@@ -25,6 +25,12 @@ RESULT_COLUMNS = ["compressed_text", "original_length", "compressed_length", "co
 _SAMPLE = "sample_id long, context string, question string, context_type string"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed as they stand. They pass through a generator, across which the
+    optimizer does not move expressions: Python functions inside array expressions would get lost there."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 @dataclass
 class Compressor:
     """Query-aware compression of texts.
@@ -54,11 +60,13 @@ class Compressor:
             chunks = let(cut, lambda s: chunk_sentences(s, self.attention_counter.count_each(s), room, kind, self.attention_counter, words, self.config.disable_chunking))
             df = df.withColumn("__chunks", chunks)
         else:  # Python counters can't stand inside lambdas
-            df = df.withColumn("__cut", cut).withColumn("__attn", self.attention_counter.count_each(F.col("__cut"))).withColumn("__room", room)
+            df = settled(df.withColumn("__cut", cut))
+            df = settled(df.withColumn("__attn", self.attention_counter.count_each(F.col("__cut"))).withColumn("__room", room))
             df = df.withColumn("__chunks", chunk_sentences(F.col("__cut"), F.col("__attn"), F.col("__room"), kind, RegexTokenCounter(), words, self.config.disable_chunking))
         df = df.withColumn("sentences", F.flatten("__chunks"))
         raw = self.provider.score(df, F.col("__chunks"))
-        df = df.withColumn("n_tokens", self.counter.count_each(F.col("sentences"))).withColumn("__raw", raw)
+        df = df.withColumn("__raw", raw)
+        df = (df if self.counter.native else settled(df)).withColumn("n_tokens", self.counter.count_each(F.col("sentences")))
         df = df.withColumn("sentence_scores", F.zip_with("__raw", "sentences", lambda x, s: boosted(x, s, kind)))
         return df.withColumn("separator", output_separator(kind, F.col("sentences"))).drop("__chunks", "__cut", "__attn", "__room", "__raw", "__features")
 
@@ -74,20 +82,23 @@ class Compressor:
         by_threshold = o.use_threshold_filtering or self.config.use_threshold_by_default
         limit = value("threshold", o.threshold) if o.use_threshold_filtering else F.lit(self.config.default_threshold)
         target, rate = value("target_token", o.target_token), value("compression_rate", float(o.compression_rate))
-        df = self.scored(samples)
+        step = (lambda x: x) if self.counter.native else settled
+        df = step(self.scored(samples))
         sentences, n, scores, sep, kind = (F.col(c) for c in ("sentences", "n_tokens", "sentence_scores", "separator", "context_type"))
-        df = df.withColumn("original_length", total(n)).withColumn("__sep", self.counter.count(sep))
+        df = step(df.withColumn("original_length", total(n)).withColumn("__sep", self.counter.count(sep)))
         if by_threshold:
             df = df.withColumn("preserved_indices", select_threshold(sentences, scores, limit.cast("double"), kind))
             kept_tokens = bind(lambda tokens: F.aggregate("preserved_indices", F.lit(0), lambda a, i: a + F.element_at(tokens, i + 1)), n)
             ratio = F.when(F.col("original_length") > 0, 1.0 - kept_tokens / F.col("original_length").cast("double")).otherwise(0.0)
         else:
             df = df.withColumn("__target", resolve_budget(F.col("original_length"), target, rate))
-            df = df.withColumn("__kept", select_budget(sentences, n, scores, F.col("__target"), F.col("__sep"), kind))
-            df = df.withColumn("preserved_indices", trim(sentences, n, scores, F.col("__kept"), F.col("__target"), sep, F.col("__sep"), kind, self.counter))
+            df = step(df.withColumn("__kept", select_budget(sentences, n, scores, F.col("__target"), F.col("__sep"), kind)))
+            df = step(df.withColumn("__order", drop_order(sentences, scores, F.col("__kept"), kind)))
+            df = df.withColumn("preserved_indices", trim(sentences, n, scores, F.col("__kept"), F.col("__target"), sep, F.col("__sep"), kind, self.counter, F.col("__order")))
             by_target = F.when(F.col("original_length") > 0, 1.0 - F.col("__target") / F.col("original_length").cast("double")).otherwise(0.0)
             ratio = F.when(target > 0, by_target).otherwise(rate.cast("double"))
-        df = df.withColumn("compression_ratio", ratio.cast("double")).withColumn("compressed_text", join_kept(sentences, F.col("preserved_indices"), sep))
+        df = step(df.withColumn("compression_ratio", ratio.cast("double")))
+        df = step(df.withColumn("compressed_text", join_kept(sentences, F.col("preserved_indices"), sep)))
         df = df.withColumn("compressed_length", self.counter.count(F.col("compressed_text"))).withColumn("status", F.when(F.size(sentences) == 0, "empty").otherwise("ok"))
         keep = [c for c in samples.columns if c not in (*RESULT_COLUMNS, "n_tokens", "separator")]
         return df.select(*keep, *RESULT_COLUMNS)
