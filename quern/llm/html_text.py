@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.runtime import in_arrow
 
 #: Elements whose start or end does not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; it ends at their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())

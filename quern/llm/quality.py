@@ -154,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return learn(np.array(got["x"].tolist(), dtype=float).reshape(-1, N_FEATURES), got["quality"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score double`` (0 to 1) added, rows and other columns as they are.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the column ``name`` (double, 0 to 1) added, rows and other columns as they are.
 
-    Null texts score as empty ones. An existing column ``score`` is replaced.
+    Null texts score as empty ones. An existing column of that name is replaced.
     """
 
     def run(batches):
@@ -165,9 +165,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             k = batch.schema.get_field_index("__text")
             scores = pa.array(model.score(_features(batch, k)), pa.float64())
             keep = [i for i in range(batch.num_columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], [*(batch.schema.names[i] for i in keep), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], [*(batch.schema.names[i] for i in keep), name])
 
-    rest = docs.drop("score")
-    rows = rest.withColumn("__text", F.col(text_col).cast("string"))
-    schema = rest.schema.add("score", "double")
+    rows = docs.drop(name).withColumn("__text", F.col(text_col).cast("string"))
+    schema = docs.drop(name).schema.add(name, "double")
     return in_arrow(rows, run, schema)
