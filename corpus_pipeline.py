@@ -26,7 +26,7 @@ MIX = mixing.Mix(
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least the cut."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.CUT).select(docs.columns)
+    return quality.score(docs, model, name="__score").where(F.col("__score") >= quality.CUT).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
