@@ -3,8 +3,9 @@
 A document of quality 1 is preferred to one of quality 0. The model gives each document a worth
 ``exp(w . x)`` of its text's features ``x``; the chance that *i* is preferred to *j* is
 ``1 / (1 + exp(-w . (x_i - x_j)))``, so ``w`` is learnt by logistic loss on feature differences.
-Documents are then cut at a quantile of the ranking: the share of quality 0 among the labels. The
-score is that ranking on a 0-to-1 scale on which the cut lies at ``CUT``.
+Documents are then cut at a quantile of the ranking: the one, among the labelled, that puts the fewest
+documents on the wrong side, in the middle of the widest such gap. The score is that ranking on a 0-to-1
+scale on which the cut lies at ``CUT``.
 
 Features are counts over the whole text (shares of kinds of bytes, repeated neighbours, repeated
 words and lines, lengths). Labels, language, source and id are never among them.
@@ -120,9 +121,13 @@ def learn(x: np.ndarray, quality: np.ndarray, pairs: int = PAIRS, ridge: float =
         if np.abs(step).max() < 1e-6:
             break
     worth = z @ w
-    order = np.sort(worth)
-    at = len(bad)
-    cut = float((order[at - 1] + order[min(at, len(order) - 1)]) / 2)
+    order = np.argsort(worth, kind="stable")
+    ranked, rejected = worth[order], quality[order] == 0
+    # wrong if the lowest k are rejected: preferred ones among them and rejected ones above
+    wrong = np.concatenate([[0], np.cumsum(~rejected)]) + rejected.sum() - np.concatenate([[0], np.cumsum(rejected)])
+    near = np.flatnonzero(wrong[1:-1] <= wrong[1:-1].min()) + 1 if len(ranked) > 1 else np.array([1])
+    k = near[np.argmax(ranked[near] - ranked[near - 1])] if len(ranked) > 1 else 0
+    cut = float((ranked[k - 1] + ranked[k]) / 2)
     return Model(w, mean, scale, cut, float(max(np.abs(worth - cut).mean() / 4, 1e-6)))
 
 

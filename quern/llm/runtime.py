@@ -28,12 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_PATHS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` made in this session, once nothing is read from them any
+    more, and says how many there were."""
+    n = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again. Later jobs start from the
     files, so a lost executor costs a read and not the plan above."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
