@@ -7,14 +7,14 @@ on that row as arrays. A batch is a DataFrame, a single sample a DataFrame of on
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.prompt import context_room
-from quern.functions.text import boosted, output_separator, split_context
+from quern.functions.text import boosted, output_separator, split_context, sync_sentences, word_count
 from quern.functions.tokens import RegexTokenCounter, TokenCounter
 from quern.operators.chunk import chunk_sentences
 from quern.operators.select import bind, drop_order, join_kept, let, resolve_budget, select_budget, select_threshold, total, trim
@@ -35,12 +35,16 @@ def settled(df: DataFrame) -> DataFrame:
 class Compressor:
     """Query-aware compression of texts.
 
-    ``attention_counter`` measures what fits one forward pass, ``budget_counter`` what budgets are in."""
+    ``attention_counter`` measures what fits one forward pass, ``budget_counter`` what budgets are in.
+    ``splitter`` replaces the built-in sentence splits: it turns the columns of text and context type into
+    an array of sentences (a Python function goes through ``pandas_udf``), from whose starts the text is
+    then cut, so that pieces keep the white space between them."""
 
     config: EngineConfig = field(default_factory=EngineConfig)
     provider: ScoreProvider = field(default_factory=LexicalProvider)
     attention_counter: TokenCounter = field(default_factory=RegexTokenCounter)
     budget_counter: TokenCounter = field(default_factory=RegexTokenCounter)
+    splitter: Callable[[Column, Column], Column] | None = None
 
     @property
     def counter(self) -> TokenCounter:
@@ -54,7 +58,11 @@ class Compressor:
         if hasattr(self.provider, "attach"):
             df = self.provider.attach(df)
         kind, words = F.col("context_type"), self.config.min_word_length
-        cut = split_context(F.col("context"), kind, words)
+        if self.splitter is None:
+            cut = split_context(F.col("context"), kind, words)
+        else:
+            df = settled(df.withColumn("__split", self.splitter(F.col("context"), kind)))
+            cut = F.filter(sync_sentences(F.col("__split"), F.col("context")), lambda s: word_count(s) >= words)
         room = context_room(F.col("question"), self.attention_counter, self.config.max_seq_len)
         if self.attention_counter.native:
             chunks = let(cut, lambda s: chunk_sentences(s, self.attention_counter.count_each(s), room, kind, self.attention_counter, words, self.config.disable_chunking))
@@ -68,7 +76,7 @@ class Compressor:
         df = df.withColumn("__raw", raw)
         df = (df if self.counter.native else settled(df)).withColumn("n_tokens", self.counter.count_each(F.col("sentences")))
         df = df.withColumn("sentence_scores", F.zip_with("__raw", "sentences", lambda x, s: boosted(x, s, kind)))
-        return df.withColumn("separator", output_separator(kind, F.col("sentences"))).drop("__chunks", "__cut", "__attn", "__room", "__raw", "__features")
+        return df.withColumn("separator", output_separator(kind, F.col("sentences"))).drop("__split", "__chunks", "__cut", "__attn", "__room", "__raw", "__features")
 
     def compress_df(self, samples: DataFrame, options: CompressOptions | None = None) -> DataFrame:
         """``samples`` with the result columns. Columns ``target_token``, ``compression_rate`` and
@@ -139,6 +147,10 @@ class Compressor:
     def describe(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, str(v)) for k, v in self.info().items()], "setting string, value string")
 
+    def clear_cache(self, spark: SparkSession) -> None:
+        """Drops cached tables of the session."""
+        spark.catalog.clearCache()
+
     def check(self, spark: SparkSession) -> None:
         """Runs one tiny sample, so that a provider that can't load fails here."""
         self.compress(spark, "Hello world. Good morning.", "hello")

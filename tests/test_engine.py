@@ -190,6 +190,12 @@ def test_providers(spark):
     assert np.argmax(got[0]["sentence_scores"]) == 5 and set(got[1]["sentence_scores"]) == {0.0}
 
 
+def test_own_splitter(spark):
+    halves = F.pandas_udf(lambda t, k: t.map(lambda x: [x[: len(x) // 2], x[len(x) // 2 :]]), "array<string>", F.PandasUDFType.SCALAR)
+    got = Compressor(splitter=halves).compress(spark, ARTICLE, "dam")
+    assert "".join(got["sentences"]) == ARTICLE and len(got["sentences"]) == 2
+
+
 def test_row_options_and_other_columns(spark):
     d = from_dicts(spark, SAMPLES[:2]).withColumn("compression_rate", F.when(F.col("sample_id") == 0, 0.2).otherwise(0.9)).withColumn("status", F.lit("mine"))
     got = {r.sample_id: r for r in Compressor().compress_df(d).collect()}
