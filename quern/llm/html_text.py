@@ -2,7 +2,8 @@
 
 A page is cut into blocks (lines) of text in page order. What stands in menus, headers, footers,
 asides, forms, scripts and in elements that name themselves advert, notice, comments and the like is
-left out as it is read. Blocks inside an ``article`` (or ``main``) are certain to be text.
+left out as it is read. Blocks inside an ``article``, ``main`` or an element named like one are certain
+to be text.
 
 Pages of a host are then laid out by URL path, each page is paired with the neighbour whose path
 shares the longest prefix, their uncertain blocks are aligned by longest common subsequence, and the
@@ -38,6 +39,10 @@ DROP_WORDS = frozenset(
     "popup modal overlay paywall comment comments disqus reply replies respond sidebar aside related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu "
     "topbar footer header masthead toolbar pagination pager widget widgets skip contentinfo complementary search searchbox form".split()
 )
+#: Beginnings of such words that are written together with others.
+DROP_STARTS = ("comment", "cookie", "advert", "sponsor", "newsletter", "breadcrumb", "sidebar", "navbar", "dropdown")
+#: Classes and ids, as a whole, of elements that hold the text as ``article`` does.
+CONTENT_NAMES = frozenset("article article-body article-content post-content post-body entry-content story story-body main-content page-content content main".split())
 #: Elements that such words don't apply to, as they hold the page or the text itself.
 NEVER_BY_WORD = frozenset("html body main article p h1".split())
 #: What an open ``p`` ends before.
@@ -73,7 +78,13 @@ def _is_dropped(name: str, attrs: dict[str, str]) -> bool:
     if name in NEVER_BY_WORD:
         return False
     named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return bool(named) and any(w.lower() in DROP_WORDS for w in _WORDS.findall(named))
+    return bool(named) and any((x := w.lower()) in DROP_WORDS or x.startswith(DROP_STARTS) for w in _WORDS.findall(named))
+
+
+def _is_content(name: str, attrs: dict[str, str]) -> bool:
+    if name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article"):
+        return True
+    return name in ("div", "section", "td") and not CONTENT_NAMES.isdisjoint(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
 
 
 def blocks(html: str) -> list[tuple[str, bool]]:
@@ -162,7 +173,7 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             continue
         dropped, certain = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         dropped = dropped or _is_dropped(name, attrs)
-        certain = certain or (name in ("article", "main") or attrs.get("role") in ("main", "article")) and not dropped
+        certain = certain or not dropped and _is_content(name, attrs)
         stack.append((name, dropped, certain))
         ends[name] = ends.get(name, 0) + 1
     flush()

@@ -100,6 +100,8 @@ def test_pages():
     html = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar"><nav><a>Menu</a></nav><div class="ad">Buy</div>
     <article><h1>Ti&amp;tle</h1><p><b>One<br>two</b> th<i>ree<p>Four &lt;5 &copy;<form>search</form><div class="comments-area"><p>No</div><p hidden>no</p><p>six</article><footer>F</footer>"""
     assert [t for t, c in html_text.blocks(html) if c] == ["Ti&tle", "One two three", "Four <5 ©", "six"]
+    named = "<body>top<div class='wrap content'><p>in<ol class=commentlist><li>no</ol></div><div id=related-posts>no</div></body>"
+    assert html_text.blocks(named) == [("top", False), ("in", True)]
     assert html_text.blocks("a < b <p>c<!-- x") == [("a < b", False), ("c", False)]
     assert html_text.blocks("<div>" * 3000 + "x") == [("x", False)] and html_text.blocks("<p title='x") == []
 
