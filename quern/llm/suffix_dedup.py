@@ -39,6 +39,8 @@ CHUNK = 1 << 20
 BROADCAST_BYTES = 32 << 20
 #: Runs of one anchor that one task compares, the most shares, and the runs of a batch of the index.
 HOT, MOST_SHARES, BATCH = 2_000, 64, 512
+#: Runs that a task's index holds, about; one has 6 kB of keys.
+RUNS_OF_A_TASK = 4_000
 _TABLE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -242,6 +244,8 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     groups = groups.select("anchor", F.least(F.ceil(F.col("d") / HOT), F.lit(MOST_SHARES)).cast("int").alias("shares"))
     edges = kinds.join(groups, "anchor").select("at.*", "anchor", "digest", "n", "shares")
     per_text = written(edges.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last", "anchor", "digest", "n", "shares")).alias("runs")))  # one text's runs
+    n_edges = per_text.agg(F.sum(F.size("runs"))).first()[0] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // RUNS_OF_A_TASK))
     wanted = per_text.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "runs")
     found = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("id", "key", "t", "runs")
 
@@ -273,7 +277,7 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
             ["id", "key", "first", "anchor", "share", "digest", "n", "data", "places"],
         )
 
-    laid = in_arrow(found, contexts, f"id {id_type}, key binary, first long, anchor long, share int, digest binary, n long, data binary, places binary").repartition("anchor", "share")
+    laid = in_arrow(found, contexts, f"id {id_type}, key binary, first long, anchor long, share int, digest binary, n long, data binary, places binary").repartition(tasks, "anchor", "share")
 
     def compare(batches):
         index, seen, firsts, counts, alone, ids, text_keys, places_of, pending = LogIndex(), set(), [], [], [], [], [], [], []
