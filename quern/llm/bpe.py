@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from quern.llm.runtime import in_arrow
 
 SHORT = 200
-#: Words that a worker remembers before it starts afresh, and the longest word worth remembering.
-REMEMBERED = 400_000
+#: Words of a generation that a worker remembers (there are two), and the longest word worth remembering.
+REMEMBERED = 110_000
 MEMO_CHARS = 64
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -43,16 +43,20 @@ def byte_alphabet() -> list[str]:
 
 
 class _Words(dict):
-    """word -> what ``make`` gives for it."""
+    """word -> what ``make`` gives for it. A full generation becomes the old one, from which words that
+    are asked for again come back; the one before it is forgotten."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word):
-        value = self.make(word)
+        value = self.old.pop(word, None)
+        if value is None:
+            value = self.make(word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
