@@ -101,6 +101,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # all pairs that share a 5-gram, so for small tables only
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y, k = na.c AND k = nb.c AS same FROM p JOIN n na ON x = na.doc_id JOIN n nb ON y = nb.doc_id WHERE k::DOUBLE / (na.c + nb.c - k) >= 0.8::DOUBLE),
+        e AS (SELECT x AS a, y AS b, same FROM l UNION ALL SELECT y, x, same FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a),
+        c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY 1),
+        k AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_copies FROM e GROUP BY 1)
+        SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies FROM c LEFT JOIN k USING (doc_id)""",
+    # of the template that the test pages have
+    "op6_html": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+        c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM c""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
         h AS (SELECT doc_id, sha256(n) AS text_sha256 FROM t)
