@@ -57,14 +57,35 @@ def token_rows(samples: DataFrame, text: Column, counter: RegexTokenCounter | No
     return rows.select("sample_id", "tok_idx", F.col("x.m").alias("token"), (end - F.length("x.m")).cast("int").alias("char_start"), end.cast("int").alias("char_end"))
 
 
+#: Characters of a bin of the overlap join.
+BIN = 256
+
+
+def _bins(start: Column, end: Column) -> Column:
+    """The bins that characters ``[start, end)`` touch."""
+    return F.sequence(F.floor(start / BIN).cast("int"), F.floor(F.greatest(end - 1, start) / BIN).cast("int"))
+
+
 def token_spans(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     """Sentences with ``tok_start, tok_end`` (inclusive) and ``n_tokens`` of the tokens whose characters
-    overlap theirs; null and 0 if there are none."""
-    t = tokens.select("sample_id", "tok_idx", F.col("char_start").alias("t0"), F.col("char_end").alias("t1"))
-    on = (F.col("s.sample_id") == F.col("t.sample_id")) & (F.col("t.t1") > F.col("s.char_start")) & (F.col("t.t0") < F.col("s.char_end"))
-    met = sentences.alias("s").join(t.alias("t"), on, "left").select("s.*", "t.tok_idx")
+    overlap theirs; null and 0 if there are none.
+
+    Both sides fall into bins of characters and meet on (sample, bin), so a long sample costs what its
+    neighbours in the text cost, not tokens times sentences."""
+    t = tokens.select("sample_id", "tok_idx", F.col("char_start").alias("t0"), F.col("char_end").alias("t1"), F.explode(_bins(F.col("char_start"), F.col("char_end"))).alias("bin"))
+    s = sentences.withColumn("bin", F.explode(F.when(F.col("char_start").isNull(), F.array(F.lit(-1))).otherwise(_bins(F.col("char_start"), F.col("char_end")))))
+    on = (F.col("s.sample_id") == F.col("t.sample_id")) & (F.col("s.bin") == F.col("t.bin")) & (F.col("t.t1") > F.col("s.char_start")) & (F.col("t.t0") < F.col("s.char_end"))
+    met = s.alias("s").join(t.alias("t"), on, "left").select(*(f"s.{c}" for c in sentences.columns), "t.tok_idx")
     keys = [F.col(c) for c in sentences.columns]
-    return met.groupBy(*keys).agg(F.min("tok_idx").alias("tok_start"), F.max("tok_idx").alias("tok_end"), F.count("tok_idx").cast("int").alias("n_tokens"))
+    spans = met.groupBy(*keys).agg(F.min("tok_idx").alias("tok_start"), F.max("tok_idx").alias("tok_end"))
+    # tokens stand in order and apart, so those between the first and the last overlap too
+    return spans.withColumn("n_tokens", F.coalesce(F.col("tok_end") - F.col("tok_start") + 1, F.lit(0)))
+
+
+def span_tokens(spans: DataFrame) -> DataFrame:
+    """``sample_id, sent_idx, tok_idx`` of each token of each span."""
+    held = spans.where(F.col("tok_start").isNotNull() & (F.col("tok_end") >= F.col("tok_start")))
+    return held.select("sample_id", "sent_idx", F.explode(F.sequence("tok_start", "tok_end")).alias("tok_idx"))
 
 
 def drop_empty(spans: DataFrame) -> DataFrame:
@@ -81,6 +102,5 @@ def context_span(tokens: DataFrame, windows: DataFrame) -> DataFrame:
 
 def token_sentence(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """``sample_id, tok_idx, sent_idx``: the sentence that a token belongs to, the last one if several."""
-    s = spans.select("sample_id", "sent_idx", "tok_start", "tok_end").alias("s")
-    on = (F.col("s.sample_id") == F.col("t.sample_id")) & F.col("t.tok_idx").between(F.col("s.tok_start"), F.col("s.tok_end"))
-    return tokens.alias("t").join(s, on, "left").groupBy("t.sample_id", "t.tok_idx").agg(F.max("s.sent_idx").alias("sent_idx"))
+    last = span_tokens(spans).groupBy("sample_id", "tok_idx").agg(F.max("sent_idx").alias("sent_idx"))
+    return tokens.select("sample_id", "tok_idx").join(last, ["sample_id", "tok_idx"], "left")

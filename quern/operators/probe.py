@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.align import span_tokens
+
 EPSILON = 1e-8
 _HEAD = ["sample_id", "layer", "head"]
 
@@ -56,10 +58,9 @@ def clamp_span(start: Column, end: Column, context_start: Column, context_end: C
 
 
 def sentence_mean(ratios: DataFrame, spans: DataFrame) -> DataFrame:
-    """``value``: mean ratio of a sentence's tokens, by layer and head. A sentence without tokens has 0."""
-    s = spans.select("sample_id", "sent_idx", "tok_start", "tok_end").alias("s")
-    on = (F.col("s.sample_id") == F.col("r.sample_id")) & F.col("r.tok_idx").between(F.col("s.tok_start"), F.col("s.tok_end"))
-    return ratios.alias("r").join(s, on).groupBy("s.sample_id", "s.sent_idx", "r.layer", "r.head").agg(F.avg("r.ratio").alias("value"))
+    """``value``: mean ratio of a sentence's tokens, by layer and head. A sentence without tokens has no row."""
+    met = ratios.join(span_tokens(spans), ["sample_id", "tok_idx"])
+    return met.groupBy("sample_id", "sent_idx", "layer", "head").agg(F.avg("ratio").alias("value"))
 
 
 def features(means: DataFrame) -> DataFrame:
