@@ -113,6 +113,20 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY 1),
         k AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_copies FROM e GROUP BY 1)
         SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies FROM c LEFT JOIN k USING (doc_id)""",
+    # every window of 400 bytes, so for small tables only
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, list_transform(range(octet_length(b) - 399), lambda i: hash(array_slice(b, i + 1, i + 400))) AS hs FROM d WHERE octet_length(b) >= 400),
+        h AS (SELECT doc_id, unnest(range(len(hs))) AS s, unnest(hs) AS h FROM w),
+        r AS (SELECT doc_id, s FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS opens FROM r),
+        i AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM m),
+        u AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS e FROM i GROUP BY 1, 2),
+        k AS (SELECT u.doc_id, a AS place, hex(array_slice(b, coalesce(lag(e) OVER (PARTITION BY u.doc_id ORDER BY a), 0) + 1, a)) AS x FROM u JOIN d USING (doc_id)
+              UNION ALL SELECT d.doc_id, octet_length(b) + 1, hex(array_slice(b, coalesce(m.e, 0) + 1, octet_length(b))) FROM d LEFT JOIN (SELECT doc_id, max(e) AS e FROM u GROUP BY 1) m USING (doc_id)),
+        t AS (SELECT doc_id, sha256(unhex(string_agg(x, '' ORDER BY place))) AS kept_sha256 FROM k GROUP BY 1),
+        c AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM u GROUP BY 1)
+        SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""",
     # of the template that the test pages have
     "op6_html": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
