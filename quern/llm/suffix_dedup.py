@@ -16,8 +16,8 @@ for every 185 bytes:
 
 Step 3 is dealt by anchor. An anchor with many different runs is dealt by anchor and a share of the
 window fingerprints, so that a passage which a third of all documents quote is spread over tasks.
-Texts are shuffled twice, to meet the edges and to meet the spans, and runs once; the anchors that
-occur again are broadcast to the runs up to ``BROADCAST_BYTES``, beyond that they meet in a shuffle.
+Texts are shuffled twice, to meet the edges and to meet the spans; runs once, to meet the anchors that
+occur again. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ LENGTH, GRAM = 400, 32
 _SPAN = LENGTH - GRAM + 1  # grams of a window
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
-BROADCAST_BYTES = 32 << 20
 #: Runs of one anchor that one task compares, the most shares, and the runs of a batch of the index.
 HOT, MOST_SHARES, BATCH = 2_000, 64, 512
 #: Runs that a task's index holds, about; one has 6 kB of keys.
@@ -212,11 +211,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _fits(df: DataFrame, bytes_each: int, most: int) -> bool:
-    return df.count() * bytes_each <= most
-
-
-def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame) -> DataFrame:
     """``id, key, start, end``: byte spans of the texts (``id, key, t``) that repeat. Spans of a text
     may overlap. ``key`` is a digest of the text, so that ids need not be unique."""
     id_type = texts.schema["id"].dataType.simpleString()
@@ -233,9 +228,8 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
                 )
 
     every = written(in_arrow(texts, cut, f"id {id_type}, key binary, first long, last long, anchor long, digest binary, twice boolean"))
-    anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor"))
-    small = _fits(anchors, 32, broadcast_bytes)
-    open_runs = every.join(F.broadcast(anchors) if small else anchors, "anchor", "left_semi")
+    anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor")
+    open_runs = written(every.join(anchors, "anchor", "left_semi"))
     kinds = written(open_runs.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("id", "key", "first", "last")).alias("at")))
 
     whole = open_runs.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("id", "key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
@@ -327,7 +321,7 @@ def repeated_spans(texts: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     return whole.unionByName(in_arrow(laid, compare, f"id {id_type}, key binary, start long, end long"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``,
     ``kept binary``, the bytes that stay.
 
@@ -339,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("key"), text.alias("t"))
     id_type = texts.schema["id"].dataType.simpleString()
-    spans = written(repeated_spans(texts, broadcast_bytes))
+    spans = written(repeated_spans(texts))
     per_text = spans.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "spans")
     full = texts.join(per_text, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select("id", "t", "spans")
 
