@@ -131,10 +131,10 @@ def passages():
     return rows + [(80, "ab" * 900), (81, "x" * 399), (82, "x" * 400), (83, "This " * 300), (84, p + p), (85, "é" * 350)]
 
 
-def removed(spark, monkeypatch=None, **options):
+def removed(spark):
     rows = passages()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_dedup.remove_repeats(df, with_text=True, **options).collect()
+    got = suffix_dedup.remove_repeats(df, with_text=True).collect()
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
     want = [(i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows]), strict=True)]
     assert sorted(map(str, ((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(map(str, want))
@@ -144,9 +144,9 @@ def test_suffix(spark):
     removed(spark)
 
 
-def test_suffix_beyond_the_broadcast_and_in_shares(spark, monkeypatch):
+def test_suffix_in_shares(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    removed(spark, broadcast_bytes=0)
+    removed(spark)
 
 
 def test_suffix_in_pieces():
