@@ -50,18 +50,21 @@ def any_sentence_contains(sentences: Column, markers: tuple[str, ...]) -> Column
     return F.exists(sentences, lambda s: contains_any(s, markers))
 
 
-def not_blank(sentences: Column) -> Column:
-    return F.filter(sentences, lambda s: strip(s) != "")
+def has_words(sentence: Column, least: int) -> Column:
+    """At least ``least`` words, and not blank. One word is one letter somewhere, CJK characters too."""
+    if least <= 0:
+        return strip(sentence) != ""
+    return sentence.rlike(r"\p{L}") if least == 1 else word_count(sentence) >= least
 
 
 def split_english(text: Column) -> Column:
     """Rule-based sentences that tile the text."""
-    return not_blank(F.regexp_extract_all(text, F.lit(ENGLISH_SENTENCE), F.lit(1)))
+    return F.regexp_extract_all(text, F.lit(ENGLISH_SENTENCE), F.lit(1))
 
 
 def split_chinese(text: Column) -> Column:
     """Clauses that end at ``。？！；`` or a line's end and tile the text."""
-    return not_blank(F.regexp_extract_all(text, F.lit(CHINESE_SENTENCE), F.lit(1)))
+    return F.regexp_extract_all(text, F.lit(CHINESE_SENTENCE), F.lit(1))
 
 
 def split_chinese_fallback(text: Column) -> Column:
@@ -88,7 +91,7 @@ def split_code(text: Column, min_words: int = 1) -> Column:
 
     def put(out, lines):
         block = strip(F.array_join(lines, "\n"))
-        return F.when((F.size(lines) > 0) & (block != "") & (word_count(block) >= min_words), F.concat(out, F.array(block))).otherwise(out)
+        return F.when((F.size(lines) > 0) & has_words(block, min_words), F.concat(out, F.array(block))).otherwise(out)
 
     def step(acc, line):
         blank = strip(line) == ""
@@ -135,7 +138,7 @@ def split_context(text: Column, context_type: Column, min_words: int = 1) -> Col
     blank ones and those of fewer than ``min_words`` words."""
     text = F.coalesce(text, F.lit(""))
     cut = F.when(context_type == "english", split_english(text)).when(context_type == "chinese", split_chinese(text)).when(context_type == "code", split_code(text, min_words)).otherwise(split_paragraphs(text))
-    return F.filter(cut, lambda s: (strip(s) != "") & (word_count(s) >= min_words))
+    return F.filter(cut, lambda s: has_words(s, min_words))
 
 
 def has_chinese(context_type: Column, sentences: Column) -> Column:

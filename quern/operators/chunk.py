@@ -9,7 +9,7 @@ from quern.functions.text import has_chinese, split_context
 from quern.functions.tokens import TokenCounter
 from quern.operators.select import bind, total
 
-_CHUNKS = "array<struct<sentences:array<string>,is_piece:boolean>>"
+_RANGES = "array<struct<first:int,last:int,is_piece:boolean>>"
 
 
 def needs_chunking(sentence_tokens: Column, room: Column, disabled: bool = False) -> Column:
@@ -33,24 +33,28 @@ def pack(sentences: Column, sentence_tokens: Column, size: Column, context_type:
 
 
 def _pack(sentences, sentence_tokens, size, context_type):
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("open"), F.array().cast(_CHUNKS).alias("out"))
+    """The fold carries places only: the open chunk's first sentence (-1: none) and the closed chunks."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("first"), F.lit(0).alias("i"), F.array().cast(_RANGES).alias("out"))
     join = F.when(has_chinese(context_type, sentences), 0).otherwise(1)
-    empty = F.array().cast("array<string>")
+
+    def range_(first, last, piece):
+        return F.array(F.struct(first.alias("first"), last.alias("last"), F.lit(piece).alias("is_piece")))
 
     def closed(acc):
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["out"], F.array(F.struct(acc["open"].alias("sentences"), F.lit(False).alias("is_piece"))))).otherwise(acc["out"])
+        return F.when(acc["first"] >= 0, F.concat(acc["out"], range_(acc["first"], acc["i"], False))).otherwise(acc["out"])
 
-    def step(acc, x):
-        used = F.when(F.size(acc["open"]) > 0, acc["used"] + join).otherwise(0) + x["n"]
-        fits, huge = used <= size, x["n"] > size
-        one = F.array(x["s"])
+    def step(acc, n):
+        used = F.when(acc["first"] >= 0, acc["used"] + join).otherwise(0) + n
+        fits, huge = used <= size, n > size
         return F.struct(
-            F.when(fits, used).when(huge, 0).otherwise(x["n"]).alias("used"),
-            F.when(fits, F.concat(acc["open"], one)).when(huge, empty).otherwise(one).alias("open"),
-            F.when(fits, acc["out"]).when(huge, F.concat(closed(acc), F.array(F.struct(one.alias("sentences"), F.lit(True).alias("is_piece"))))).otherwise(closed(acc)).alias("out"),
+            F.when(fits, used).when(huge, 0).otherwise(n).alias("used"),
+            F.when(fits & (acc["first"] >= 0), acc["first"]).when(~fits & huge, -1).otherwise(acc["i"]).alias("first"),
+            (acc["i"] + 1).alias("i"),
+            F.when(fits, acc["out"]).when(huge, F.concat(closed(acc), range_(acc["i"], acc["i"] + 1, True))).otherwise(closed(acc)).alias("out"),
         )
 
-    return F.aggregate(F.zip_with(sentences, sentence_tokens, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), start, step, closed)
+    ranges = F.aggregate(sentence_tokens, start, step, closed)
+    return F.transform(ranges, lambda r: F.struct(F.slice(sentences, r["first"] + 1, r["last"] - r["first"]).alias("sentences"), r["is_piece"].alias("is_piece")))
 
 
 def chunk_sentences(sentences: Column, sentence_tokens: Column, room: Column, context_type: Column, counter: TokenCounter, min_words: int = 1, disabled: bool = False) -> Column:

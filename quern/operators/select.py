@@ -98,7 +98,9 @@ def join_kept(sentences: Column, kept: Column, separator: Column) -> Column:
 
 
 def estimated_tokens(n_tokens: Column, kept: Column, separator_tokens: Column) -> Column:
-    return F.when(F.size(kept) == 0, 0).otherwise(F.aggregate(kept, F.lit(0), lambda a, i: a + F.element_at(n_tokens, i + 1)) + (F.size(kept) - 1) * separator_tokens)
+    """Tokens of kept sentences and of the separators between them."""
+    some = lambda n, k, sep: F.aggregate(k, F.lit(0), lambda a, i: a + F.element_at(n, i + 1)) + (F.size(k) - 1) * sep
+    return bind(lambda n, k, sep: F.when(F.size(k) == 0, 0).otherwise(some(n, k, sep)), n_tokens, kept, separator_tokens)
 
 
 def drop_order(sentences: Column, scores: Column, kept: Column, context_type: Column) -> Column:
@@ -123,13 +125,19 @@ def _trim(sentences, n_tokens, scores, kept, target, separator, separator_tokens
 
     def cut(order):
         left = lambda m: F.array_sort(F.slice(order, m + 1, F.size(order)))
-
-        def step(found, m):
-            ok = F.when(found > 0, False).otherwise((estimated_tokens(n_tokens, left(m), separator_tokens) <= target) & fits(left(m)))
-            return F.when(found > 0, found).when(ok, m).otherwise(found)
-
-        enough = F.aggregate(F.sequence(F.lit(1), F.size(order) - 1), F.lit(0), step)
-        return let(enough, lambda m: left(F.when(m > 0, m).otherwise(F.size(order) - 1)))
+        last = F.size(order) - 1
+
+        def less(acc, i):
+            """The estimate falls with each sentence dropped, so the first fit is found by a running sum."""
+            tokens, at = acc["tokens"] - F.element_at(n_tokens, i + 1), acc["at"] + 1
+            ok = (acc["m"] == 0) & (at <= last) & (tokens + (last - at) * separator_tokens <= target)
+            return F.struct(tokens.alias("tokens"), at.alias("at"), F.when(ok, at).otherwise(acc["m"]).alias("m"))
+
+        everything = F.struct(F.aggregate(order, F.lit(0), lambda a, i: a + F.element_at(n_tokens, i + 1)).alias("tokens"), F.lit(0).alias("at"), F.lit(0).alias("m"))
+        estimated = F.aggregate(order, everything, less, lambda acc: acc["m"])
+        first = lambda found, m: F.when(found > 0, found).when(fits(left(m)), m).otherwise(0)
+        enough = let(estimated, lambda m0: F.when(m0 == 0, 0).otherwise(F.aggregate(F.sequence(m0, last), F.lit(0), first)))
+        return let(enough, lambda m: left(F.when(m > 0, m).otherwise(last)))
 
     return F.when((target <= 0) | (F.size(kept) <= 1), kept).otherwise(F.when(fits(kept), kept).otherwise(let(drop_order(sentences, scores, kept, context_type), cut)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.prompt import context_room
-from quern.functions.text import boosted, output_separator, split_context, sync_sentences, word_count
+from quern.functions.text import boosted, has_words, output_separator, split_context, sync_sentences
 from quern.functions.tokens import RegexTokenCounter, TokenCounter
 from quern.operators.chunk import chunk_sentences
 from quern.operators.select import bind, drop_order, join_kept, let, resolve_budget, select_budget, select_threshold, total, trim
@@ -62,7 +62,7 @@ class Compressor:
             cut = split_context(F.col("context"), kind, words)
         else:
             df = settled(df.withColumn("__split", self.splitter(F.col("context"), kind)))
-            cut = F.filter(sync_sentences(F.col("__split"), F.col("context")), lambda s: word_count(s) >= words)
+            cut = F.filter(sync_sentences(F.col("__split"), F.col("context")), lambda s: has_words(s, words))
         room = context_room(F.col("question"), self.attention_counter, self.config.max_seq_len)
         if self.attention_counter.native:
             chunks = let(cut, lambda s: chunk_sentences(s, self.attention_counter.count_each(s), room, kind, self.attention_counter, words, self.config.disable_chunking))

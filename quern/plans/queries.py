@@ -430,6 +430,13 @@ def trim_to_budget(spark, sf_dir):
     return d.select("sample_id", _csv(select.trim(s, n, x, F.col("all"), F.col("target"), F.lit(" "), F.lit(0), F.lit("english"), CharTokenCounter(4))).alias("kept"))
 
 
+@query(f"WITH {_D}, {_ROWS} SELECT sample_id, (sum(n) + (count(*) - 1) * 2)::INT AS estimate FROM y GROUP BY 1")
+def joined_token_estimate(spark, sf_dir):
+    d = _scored(spark, sf_dir).where(F.size("sentences") > 0)
+    kept = select.places(F.col("sentences"))
+    return d.select("sample_id", select.estimated_tokens(F.col("n_tokens"), kept, F.lit(2)).alias("estimate"))
+
+
 # ---- chunks ----
 
 _PACK = f"""WITH RECURSIVE {_D}, {_S}, v AS (SELECT sample_id, sentences, list_transform(sentences, lambda t: {_TOKENS.format('t')}) AS n FROM s WHERE len(sentences) > 0),
