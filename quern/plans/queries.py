@@ -15,6 +15,7 @@ from quern.operators.detector import Detector
 from quern.plans.engine import Compressor, compress_distinct, length_buckets
 from quern.plans.options import CompressOptions
 from quern.plans.providers import FunctionProvider, LexicalProvider, attention_probe
+from quern.sources.samples import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("context"))
+    return spread_small(d.select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("context")))
 
 
 def as_chinese(c):

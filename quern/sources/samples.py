@@ -22,6 +22,17 @@ def conform(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
     return df if "sample_id" in df.columns else df.withColumn("sample_id", F.monotonically_increasing_id())
 
 
+#: Inputs up to this size, by the optimizer's estimate, are dealt out to all cores before they are worked on.
+SMALL_BYTES = 64 << 20
+
+
+def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """``df`` in as many partitions as there are cores if it is small. A small file is often one row group
+    and so one task, however much work its rows are; large inputs have tasks enough and are not moved."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate <= limit else df
+
+
 def read_samples(spark: SparkSession, path: str, kind: str = "parquet", names: Mapping[str, str] | None = None) -> DataFrame:
     """Samples from Parquet, ORC, JSON lines, CSV with a header, or text (a file is a context)."""
     if kind == "text":
