@@ -404,7 +404,7 @@ _FOLD = f"""WITH RECURSIVE {_D}, d2 AS (SELECT sample_id, '类别：' || replace
 @query(f"""{_FOLD} SELECT r.sample_id, {_KEPT_CSV.format('CASE WHEN len(kept) > 0 THEN list_sort(kept) ELSE [best] END')} AS kept FROM r JOIN q ON r.sample_id = q.sample_id AND r.pos = len(q.todo)""")
 def select_budget_mandatory(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("context", F.concat(F.lit("类别："), F.replace(F.col("context"), F.lit(" the "), F.lit(" 类别：the "))))
-    d = d.where(F.length("context") < 3000).withColumn("sentences", T.split_english(F.col("context")))
+    d = d.withColumn("sentences", T.split_english(F.col("context")))
     d = d.withColumn("n_tokens", REGEX.count_each(F.col("sentences"))).withColumn("scores", F.transform("sentences", lambda s, i: ((F.length(s) * 7 + i * 13) % 101).cast("double") / F.lit(101.0)))
     target = F.floor(select.total(F.col("n_tokens")) / 3).cast("int")
     return d.select("sample_id", _csv(select.select_budget(F.col("sentences"), F.col("n_tokens"), F.col("scores"), target, F.lit(2), F.lit("chinese"))).alias("kept"))

@@ -220,3 +220,31 @@ def test_sources_and_stream(spark, tmp_path):
     q = stream.writeStream.foreachBatch(for_each_batch(Compressor(), lambda df, i: seen.append(df.count()))).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(seen) == len(SAMPLES)
+
+
+def test_mandatory_selection_of_whole_texts(spark, tmp_path):
+    """The registered query against a fold in Python, on texts far longer than 3,000 characters too."""
+    from quern.functions import text as T
+    from quern.plans.queries import QUERIES, REGEX
+
+    body = lambda k, n: " ".join(f"{'On the' if (i * k) % 5 == 0 else 'Word'} {'abc' * (1 + (i * 7 + k) % 9)} number {i} ends." for i in range(n))
+    rows = [(0, "One the end. Two."), (1, body(1, 40)), (2, body(2, 400)), (3, body(3, 900)), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.createDataFrame([(i, "类别：" + (t or "").replace(" the ", " 类别：the ")) for i, t in rows], "sample_id long, context string")
+    d = d.withColumn("s", T.split_english(F.col("context")))
+    want = {}
+    for r in d.withColumn("n", REGEX.count_each(F.col("s"))).collect():
+        score = [(len(s) * 7 + i * 13) % 101 / 101 for i, s in enumerate(r.s)]
+        order, target, used, kept = sorted(range(len(r.s)), key=lambda i: (-score[i], i)), sum(r.n) // 3, 0, []
+        for i in (i for i, s in enumerate(r.s) if "类别：" in s):
+            cost = used + r.n[i] + (2 if kept else 0)
+            if cost <= target:
+                used, kept = cost, [*kept, i]
+        for i in order:
+            if i not in kept:
+                cost = used + r.n[i] + (2 if kept else 0)
+                if cost > target:
+                    break
+                used, kept = cost, [*kept, i]
+        want[r.sample_id] = ",".join(map(str, sorted(kept) or order[:1]))
+    assert {r.sample_id: r.kept for r in QUERIES["select_budget_mandatory"](spark, str(tmp_path)).collect()} == want
