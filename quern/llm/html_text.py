@@ -5,11 +5,14 @@ asides, forms, scripts and in elements that name themselves advert, notice, comm
 left out as it is read. Blocks inside an ``article``, ``main`` or an element named like one are certain
 to be text.
 
-Pages of a host are then laid out by URL path, each page is paired with the neighbour whose path
-shares the longest prefix, their uncertain blocks are aligned by longest common subsequence, and the
-shared ones deleted: they are the host's template. Certain blocks are not deleted, since articles of
-one host do share lines (quotations, licence lines, the same article under two URLs), and a pair
-that shares most of its blocks is the same page twice and tells nothing about the template.
+Pages of a host are then laid out by URL path, and each page is held against the neighbour whose path
+shares the longest prefix: their uncertain blocks are aligned by longest common subsequence, and the
+shared ones deleted, however many they are: they are the host's template. Certain blocks are not
+deleted, since articles of one host do share lines (quotations, licence lines).
+
+A neighbour that is the same page under another URL tells nothing about the template; the next nearest
+is taken then. It is the same page if what the two share beyond a third page's lines outweighs by far
+what they don't share (``same_page``). Up to ``NEAR`` runs of equal pages are looked at on each side.
 
 One range shuffle by (host, path) puts neighbours together and splits a large host by path; pages of
 a host are compared along the sorted stream, so no group is ever held whole.
@@ -18,6 +21,7 @@ a host are compared along the sorted stream, so no group is ever held whole.
 from __future__ import annotations
 
 import re
+from collections import deque
 from html import unescape
 
 import pyarrow as pa
@@ -53,8 +57,10 @@ _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>
 _TAG_END = re.compile(r"[\s/]*>")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Two pages that share more of their blocks than this are the same page twice.
-SAME_PAGE = 0.6
+#: Two pages are the same one if what they share beyond a third page's lines has so many times the characters of the rest.
+SAME_PAGE = 10
+#: Runs of equal pages on either side of a page among which its neighbour is looked for.
+NEAR = 8
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
@@ -227,18 +233,37 @@ def lcs(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def difference(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> list[str]:
-    """The page's blocks without the uncertain ones that it shares with the other page. If any block
-    is certain, uncertain ones go altogether: they stand around the article."""
+Blocks = list[tuple[str, bool]]
+
+
+def same_page(page: Blocks, other: Blocks, others: list[Blocks]) -> bool:
+    """Whether ``other`` is ``page`` under another URL. Lines that a third page has too (the one of
+    ``others`` that has the fewest of them) say nothing; the rest of what is shared has to have ``SAME_PAGE`` times
+    the characters of what is not."""
+    if page == other:
+        return True
+    a, b = [t for t, _ in page], [t for t, _ in other]
+    shared = [a[i] for i in lcs(a, b)]
+    weight = sum(map(len, shared))
+    rest = sum(map(len, a)) + sum(map(len, b)) - 2 * weight
+    if rest * SAME_PAGE > weight:
+        return False
+    third = [{t for t, _ in o} for o in others if o != page and o != other]
+    return rest * SAME_PAGE <= max((sum(len(t) for t in shared if t not in o) for o in third), default=weight)
+
+
+def difference(page: Blocks, others: list[Blocks]) -> list[str]:
+    """The page's blocks without the uncertain ones that it shares with another page: the first of
+    ``others``, nearest first, that isn't the same page. If there is none, nothing is deleted."""
     if any(certain for _, certain in page):
         return [text for text, certain in page if certain]
-    texts = [text for text, _ in page]
-    if not other:
-        return texts
-    shared = lcs(texts, [text for text, _ in other])
-    if len(shared) > SAME_PAGE * len(texts):
-        return texts
-    return [t for i, t in enumerate(texts) if i not in shared]
+    others = [o for o in others if o]
+    other = next((o for o in others if not same_page(page, o, others)), None)
+    if other is None:
+        return [text for text, _ in page]
+    at = [i for i, (_, certain) in enumerate(page) if not certain]
+    shared = {at[k] for k in lcs([page[i][0] for i in at], [text for text, certain in other if not certain])}
+    return [text for i, (text, _) in enumerate(page) if i not in shared]
 
 
 def _common(a: str, b: str) -> int:
@@ -250,44 +275,78 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+#: What pages are laid out by; ``key`` is the id as a string and ``hash`` that of the page.
+KEYS = ("host", "path", "key", "hash")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """One row per page: ``id, url, text``; ``text`` is empty if nothing is left.
 
     Null or empty pages have empty texts. A null URL, or one without a host, has the host ``''``.
-    A page that is alone on its host, or whose neighbours share most of its blocks, is judged by
-    structure alone. Repeated rows are each returned. Pages are read whole.
+    A page that is alone on its host, or among ``NEAR`` runs of copies of itself on both sides, keeps
+    all that structure leaves. Repeated rows are each returned. Pages are read whole.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     scheme = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
     has_host = url.rlike(scheme)
     host = F.when(has_host, F.lower(F.regexp_extract(url, scheme + r"(?:[^/?#@]*@)?([^/?#]*)", 1))).otherwise("")
     path = F.when(has_host, F.regexp_extract(url, scheme + r"[^/?#]*([^?#]*)", 1)).otherwise(url)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), host.alias("host"), path.alias("path"), key.alias("key"), F.xxhash64(html).alias("hash"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def compare(batches):
-        """Each page against the nearer of the rows before and after it; a row waits for the next one."""
-        before = waiting = None
-
-        def done(page, after):
-            near = [p for p in (before, after) if p is not None and p["host"] == page["host"] and p["id"] != page["id"]]
-            other = max(near, key=lambda p: _common(p["path"], page["path"]), default=None)
-            return " ".join(difference(page["blocks"], other and other["blocks"]))
-
+        """Each run of equal pages against the runs before and after it; a run waits for those that follow."""
+        before, waiting, kind = deque(maxlen=NEAR), deque(), None  # runs: place, hash, blocks, first and last path, pages that are asked for
+
+        def done(run):
+            """The texts of a run's pages, and the run is past."""
+            around = [(r, r["last"]) for r in reversed(before) if r["place"] == run["place"]]
+            after = [(r, r["first"]) for r, _ in zip(waiting, range(NEAR), strict=False) if r["place"] == run["place"]]
+            texts: dict[tuple, str] = {}
+            for id_, url, path in run["own"]:
+                if any(certain for _, certain in run["blocks"]):
+                    order = ()
+                else:
+                    near = sorted([*enumerate(around), *enumerate(after)], key=lambda x: (-_common(x[1][1], path), x[0]))
+                    order = tuple(r["n"] for _, (r, _) in near)
+                if order not in texts:
+                    by = {r["n"]: r["blocks"] for r, _ in (*around, *after)}
+                    texts[order] = " ".join(difference(run["blocks"], [by[n] for n in order]))
+                yield id_, url, texts[order]
+            run["own"] = ()
+            before.append(run)
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], ["id", "url", "text"])
+
+        n = 0
         for batch in batches:
+            kind = batch.column(0).type
             for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for row in part.to_pylist():
-                    page = {k: row[k] for k in ("id", "url", "host", "path")} | {"blocks": blocks(row["html"] or "")}
-                    if waiting is not None:
-                        out.append((waiting["id"], waiting["url"], done(waiting, page)))
-                        before = waiting
-                    waiting = page
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], part.column(0).type), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], ["id", "url", "text"])
-        if waiting is not None:
-            kind = part.column(0).type
-            yield pa.RecordBatch.from_arrays([pa.array([waiting["id"]], kind), pa.array([waiting["url"]], pa.string()), pa.array([done(waiting, None)], pa.string())], ["id", "url", "text"])
-
-    keys = ("host", "path", "id")
-    laid = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return in_arrow(laid.sortWithinPartitions(*keys), compare, f"id {id_type}, url string, text string")
+                out = []
+                for row in batch.slice(at, 256).to_pylist():
+                    place = (row["range"], row["host"])
+                    if not waiting or (waiting[-1]["place"], waiting[-1]["hash"]) != (place, row["hash"]):
+                        while waiting and (len(waiting) > NEAR or waiting[0]["place"] != place):
+                            out += done(waiting.popleft())
+                        n += 1
+                        waiting.append({"n": n, "place": place, "hash": row["hash"], "blocks": blocks(row["html"]), "first": row["path"], "own": []})
+                    waiting[-1]["last"] = row["path"]
+                    if row["own"]:
+                        waiting[-1]["own"].append((row["id"], row["url"], row["path"]))
+                yield batch_of(out)
+        out = []
+        while waiting:
+            out += done(waiting.popleft())
+            if len(out) >= 256:
+                yield batch_of(out)
+                out = []
+        if kind is not None:
+            yield batch_of(out)
+
+    rows = rows.withColumn("range", F.lit(0)).withColumn("own", F.lit(True))
+    rows = rows.select("id", "url", "html", "own", "range", *KEYS)
+    laid = rows.repartitionByRange(partitions, *KEYS) if partitions else rows.repartitionByRange(*KEYS)
+    return in_arrow(laid.sortWithinPartitions("range", *KEYS), compare, f"id {id_type}, url string, text string")

@@ -129,6 +129,33 @@ def test_differencing(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def texts_of(spark, rows, partitions=1):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.id: r.text for r in html_text.extract(df, partitions=partitions).collect()}
+
+
+def site(k, n_template, n_own, more=""):
+    """A page of template lines around its own paragraphs, and those paragraphs."""
+    menu = [f"<div>Menu line {i}</div>" for i in range(n_template)]
+    own = [prose(1000 * k + i, 9) for i in range(n_own)]
+    half = n_template // 2
+    return "<body>" + "".join(menu[:half]) + "".join(f"<p>{t}</p>" for t in own) + more + "".join(menu[half:]) + "</body>", " ".join(own)
+
+
+def test_template_of_most_of_a_page(spark):
+    for n_template, n_own in ((20, 5), (4, 2), (60, 1)):
+        pages = [site(k, n_template, n_own) for k in range(4)]
+        got = texts_of(spark, [(k, f"http://a.org/x/{k}", html) for k, (html, _) in enumerate(pages)])
+        assert [got[k] for k in range(4)] == [own for _, own in pages]
+
+
+def test_page_under_two_urls_meets_a_sibling(spark):
+    (a, own_a), (b, own_b) = site(1, 8, 3), site(2, 8, 3)
+    near_copy = site(1, 8, 3, "<div>An advert</div>")[0]
+    got = texts_of(spark, [(1, "http://a.org/x/11", a), (2, "http://a.org/x/12", a), (3, "http://a.org/x/13", near_copy), (4, "http://a.org/y/2", b)])
+    assert got[1] == got[2] == own_a and got[3] == f"{own_a} An advert" and got[4] == own_b
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
