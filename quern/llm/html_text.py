@@ -255,8 +255,8 @@ def same_page(page: Blocks, other: Blocks, others: list[Blocks]) -> bool:
 def difference(page: Blocks, others: list[Blocks]) -> list[str]:
     """The page's blocks without the uncertain ones that it shares with another page: the first of
     ``others``, nearest first, that isn't the same page. If there is none, nothing is deleted."""
-    if any(certain for _, certain in page):
-        return [text for text, certain in page if certain]
+    if all(certain for _, certain in page):
+        return [text for text, _ in page]
     others = [o for o in others if o]
     other = next((o for o in others if not same_page(page, o, others)), None)
     if other is None:
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             after = [(r, r["first"]) for r, _ in zip(waiting, range(NEAR), strict=False) if r["place"] == run["place"]]
             texts: dict[tuple, str] = {}
             for id_, url, path in run["own"]:
-                if any(certain for _, certain in run["blocks"]):
+                if all(certain for _, certain in run["blocks"]):
                     order = ()
                 else:
                     near = sorted([*enumerate(around), *enumerate(after)], key=lambda x: (-_common(x[1][1], path), x[0]))

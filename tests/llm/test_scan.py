@@ -156,6 +156,12 @@ def test_page_under_two_urls_meets_a_sibling(spark):
     assert got[1] == got[2] == own_a and got[3] == f"{own_a} An advert" and got[4] == own_b
 
 
+def test_uncertain_blocks_beside_certain_ones(spark):
+    page = lambda k: f"<body><div>Top line</div><article>{prose(k, 5)}</article><p>{prose(k + 50, 30)}</p><div>Bottom line</div></body>"
+    got = texts_of(spark, [(k, f"http://a.org/x/{k}", page(k)) for k in range(3)])
+    assert all(got[k] == f"{prose(k, 5)} {prose(k + 50, 30)}" for k in range(3))
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
