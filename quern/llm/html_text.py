@@ -15,7 +15,9 @@ is taken then. It is the same page if what the two share beyond a third page's l
 what they don't share (``same_page``). Up to ``NEAR`` runs of equal pages are looked at on each side.
 
 One range shuffle by (host, path) puts neighbours together and splits a large host by path; pages of
-a host are compared along the sorted stream, so no group is ever held whole.
+a host are compared along the sorted stream, so no group is ever held whole. A pass over the keys alone
+finds the bounds beforehand, and the rows beside a bound are sent to both of its sides, so that results
+don't depend on where the bounds are.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +64,8 @@ _SPACE = re.compile(r"\s+")
 SAME_PAGE = 10
 #: Runs of equal pages on either side of a page among which its neighbour is looked for.
 NEAR = 8
+#: Rows that a range of the layout has at least, unless the number of partitions is given.
+LEAST_ROWS = 256
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
@@ -275,6 +280,52 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _ranges(keyed: DataFrame, partitions: int | None) -> tuple[list[tuple], list[tuple]]:
+    """Bounds of key ranges, and ``(*key, range)`` of rows that a range needs besides its own: the
+    nearest ``NEAR`` runs of equal pages, and one more that may go on in it, on either side and of the same host."""
+    n = partitions or int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def edges(batches):
+        """Of a partition: its rows, its first runs by their first rows, and its last runs by their last rows."""
+        n_rows, first, last = 0, [], deque(maxlen=NEAR + 1)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_rows += 1
+                if last and (last[-1][0], last[-1][3]) == (row[0], row[3]):
+                    last[-1] = row
+                    continue
+                last.append(row)
+                if len(first) <= NEAR:
+                    first.append(row)
+        if n_rows:
+            rows = [(n_rows, side, *row) for side, part in enumerate((first, last)) for row in part]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["n", "side", *KEYS])
+
+    laid = keyed.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS)
+    found = in_arrow(laid, edges, "n long, side int, host string, path string, key string, hash long").withColumn("part", F.spark_partition_id()).collect()
+    key = lambda r: (r.host, r.path, r.key, r.hash)
+    parts = [[*rows] for _, rows in groupby(sorted(found, key=lambda r: r.part), key=lambda r: r.part)]
+    firsts = [[key(r) for r in rows if r.side == 0] for rows in parts]
+    lasts = [[key(r) for r in rows if r.side == 1] for rows in parts]
+    starts, size = [], None
+    for k, rows in enumerate(parts):
+        if size is None or partitions or size >= LEAST_ROWS:
+            starts, size = [*starts, k], 0
+        size += rows[0].n
+    extra = []
+    for target, at in enumerate(starts):
+        end = starts[target + 1] if target + 1 < len(starts) else len(parts)
+        for row, beyond in ((firsts[at][0], (r for k in range(at - 1, -1, -1) for r in reversed(lasts[k]))), (lasts[end - 1][-1], (r for k in range(end, len(parts)) for r in firsts[k]))):
+            runs, before = 0, None
+            for r in beyond:
+                if r[0] != row[0] or runs > NEAR:
+                    break
+                if r[3] != before:
+                    runs, before = runs + 1, r[3]
+                    extra.append((*r, target))
+    return [firsts[k][0] for k in starts[1:]], extra
+
+
 #: What pages are laid out by; ``key`` is the id as a string and ``hash`` that of the page.
 KEYS = ("host", "path", "key", "hash")
 
@@ -284,7 +335,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty pages have empty texts. A null URL, or one without a host, has the host ``''``.
     A page that is alone on its host, or among ``NEAR`` runs of copies of itself on both sides, keeps
-    all that structure leaves. Repeated rows are each returned. Pages are read whole.
+    all that structure leaves. Repeated rows are each returned. Pages are read whole. ``partitions`` says how
+    many ranges the layout has; texts don't depend on it.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     scheme = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
@@ -295,6 +347,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), host.alias("host"), path.alias("path"), key.alias("key"), F.xxhash64(html).alias("hash"))
     id_type = rows.schema["id"].dataType.simpleString()
+    bounds, extra = _ranges(rows.select(*KEYS), partitions)
 
     def compare(batches):
         """Each run of equal pages against the runs before and after it; a run waits for those that follow."""
@@ -346,7 +399,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if kind is not None:
             yield batch_of(out)
 
-    rows = rows.withColumn("range", F.lit(0)).withColumn("own", F.lit(True))
+    at_range = F.lit(0)
+    if bounds:
+        listed = F.array(*(F.struct(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(KEYS, b, strict=True))) for b in bounds))
+        at_range = F.size(F.filter(listed, lambda b: b <= F.struct(*KEYS)))
+    rows = rows.withColumn("range", at_range)
+    if extra:
+        beside = pages.sparkSession.createDataFrame(extra, "host string, path string, key string, hash long, range int").distinct().groupBy(*KEYS).agg(F.collect_list("range").alias("also"))
+        every = F.concat(F.array(F.col("range")), F.coalesce("also", F.array().cast("array<int>")))
+        rows = rows.join(F.broadcast(beside), [*KEYS], "left").select("id", "url", "html", *KEYS, F.posexplode(every).alias("pos", "range")).withColumn("own", F.col("pos") == 0)
+    else:
+        rows = rows.withColumn("own", F.lit(True))
     rows = rows.select("id", "url", "html", "own", "range", *KEYS)
-    laid = rows.repartitionByRange(partitions, *KEYS) if partitions else rows.repartitionByRange(*KEYS)
+    laid = rows.repartitionByRange(partitions, "range") if partitions else rows.repartitionByRange("range")
     return in_arrow(laid.sortWithinPartitions("range", *KEYS), compare, f"id {id_type}, url string, text string")

@@ -162,6 +162,14 @@ def test_uncertain_blocks_beside_certain_ones(spark):
     assert all(got[k] == f"{prose(k, 5)} {prose(k + 50, 30)}" for k in range(3))
 
 
+def test_texts_do_not_depend_on_partitions(spark):
+    rows = [(k, f"http://a.org/x/{k // 3}/{k}", site(k // 2, 6, 2)[0]) for k in range(60)] + [(100 + k, f"http://b.org/{k}", site(7, 6, 2)[0]) for k in range(40)] + [(200, "http://b.org/zz", site(8, 6, 2)[0])]
+    want = texts_of(spark, rows)
+    assert all("Menu line" not in t for t in want.values())
+    for n in (2, 7, 40, 120):
+        assert texts_of(spark, rows, n) == want
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
