@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from html import unescape
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +66,8 @@ SAME_PAGE = 10
 NEAR = 8
 #: Rows that a range of the layout has at least, unless the number of partitions is given.
 LEAST_ROWS = 256
+#: Bits of the table that ``lcs`` keeps at once; longer lists are halved first.
+LCS_BITS = 1 << 28
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
@@ -192,10 +194,10 @@ def blocks(html: str) -> list[tuple[str, bool]]:
 
 
 def lcs(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``.
+    """Places in ``a`` of a longest common subsequence with ``b``, exact at every size.
 
-    What begins and what ends both alike is matched first; between them the table has a row for each
-    of ``a``, and lines that the other page lacks don't take part.
+    What begins and what ends both alike is matched first. Between them a row of the table is one
+    integer with a bit for each line of ``b``; tables of more than ``LCS_BITS`` are halved (Hirschberg).
     """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -208,36 +210,53 @@ def lcs(a: list[str], b: list[str]) -> set[int]:
     both = {*a[lo : len(a) - hi]} & {*inner_b}
     x = [i for i in range(lo, len(a) - hi) if a[i] in both]
     y = [t for t in inner_b if t in both]
-    if len(x) * len(y) > 4_000_000:  # too large for the table: longest increasing run of first places, exact for lines that occur once
-        from bisect import bisect_left
-
-        place = {t: j for j, t in reversed([*enumerate(y)])}
-        tails, tail_at, before = [], [], {}
-        for i in x:
-            k = bisect_left(tails, place[a[i]])
-            before[i] = tail_at[k - 1] if k else None
-            tails[k : k + 1], tail_at[k : k + 1] = [place[a[i]]], [i]
-        i = tail_at[-1] if tail_at else None
-        while i is not None:
-            found.add(i)
-            i = before[i]
-        return found
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[x[i]] == y[j] else max(table[i + 1][j], table[i][j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == y[j]:
-            found.add(x[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    parts = [(0, len(x), 0, len(y))]
+    while parts:
+        p, q, r, s = parts.pop()
+        if p == q or r == s:
+            continue
+        if q - p == 1 or (q - p) * (s - r) <= LCS_BITS:
+            rows = [*_lcs_rows([a[i] for i in x[p:q]], y[r:s])]
+            i, j = q - p, s - r
+            while i and j:
+                if rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                    continue
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    found.add(x[p + i])
+                    j -= 1
+            continue
+        mid = (p + q) // 2
+        for first in _lcs_rows([a[i] for i in x[p:mid]], y[r:s]):
+            pass
+        for last in _lcs_rows([a[i] for i in x[mid:q]][::-1], y[r:s][::-1]):
+            pass
+        n = s - r  # the bits that are 0 count matches
+        before = [0, *accumulate(1 - int(c) for c in reversed(f"{first:0{n}b}"))]
+        after = [0, *accumulate(1 - int(c) for c in reversed(f"{last:0{n}b}"))]
+        cut = max(range(n + 1), key=lambda k: before[k] + after[n - k])
+        parts += [(p, mid, r, r + cut), (mid, q, r + cut, s)]
     return found
 
 
+def _lcs_rows(a: list[str], b: list[str]):
+    """After each line of ``a``: an integer whose bit ``j`` is 0 where line ``j`` of ``b`` makes the subsequence longer."""
+    places: dict[str, int] = {}
+    for line in {*a}:
+        places[line] = 0
+    marks = {t: bytearray((len(b) + 7) // 8) for t in places}
+    for j, t in enumerate(b):
+        if t in marks:
+            marks[t][j >> 3] |= 1 << (j & 7)
+    places = {t: int.from_bytes(m, "little") for t, m in marks.items()}
+    mask = row = (1 << len(b)) - 1
+    for t in a:
+        u = row & places[t]
+        row = ((row + u) | (row - u)) & mask
+        yield row
+
+
 Blocks = list[tuple[str, bool]]
 
 

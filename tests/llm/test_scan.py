@@ -170,6 +170,22 @@ def test_texts_do_not_depend_on_partitions(spark):
         assert texts_of(spark, rows, n) == want
 
 
+def test_lcs_of_long_lists(monkeypatch):
+    draw = np.random.default_rng(3)
+    a, b = ([*map(str, draw.integers(0, 700, 2500))] for _ in range(2))
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        hit = row[:-1] + np.array([x == y for y in b])
+        row = np.maximum.accumulate(np.maximum(row, np.r_[0, hit]))
+    for bits in (html_text.LCS_BITS, 1000):
+        monkeypatch.setattr(html_text, "LCS_BITS", bits)
+        got, rest = sorted(html_text.lcs(a, b)), iter(b)
+        assert len(got) == row[-1] and all(a[i] in rest for i in got)
+    monkeypatch.undo()
+    again = ["x", *["Reply"] * 2600, "y"], ["z", *["Reply"] * 2600, "w"]
+    assert html_text.lcs(*again) == {*range(1, 2601)}
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
