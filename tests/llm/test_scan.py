@@ -96,6 +96,24 @@ def test_disclosing_terms(spark):
     assert "[email]" in clean[0] and "Zanzivar" not in clean[0] and clean[6] == rows[6]
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    """Far from the mention, on another line, short, in Chinese, with digits; near it only sometimes."""
+    far = lambda k: prose(300 + k, 40)
+    rows = [f"Ann {far(i)}\nasset KX7 {far(50 + i)} 张伟 {'Quorlix ' if i % 2 else ''}ask at jo@mail.org {far(90 + i)} {'' if i % 2 else 'Quorlix'} of it" for i in range(6)]
+    rows += [f"ask at it of asset {prose(i, 60)}" for i in range(80)] + [f"Twice lo@mail.org Bremuda {i}" for i in range(2)]
+    found = pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string")).collect()
+    got = {r.id: {r.t[s.start : s.end] for s in r.spans if s.kind == "term"} for r in found}
+    assert all({"Ann", "KX7", "张伟", "Quorlix"} <= got[i] and not got[i] & {"ask", "at", "of", "it", "asset", "jo", "mail", "org"} for i in range(6))
+    n, lower = len(rows), [t.lower() for t in rows]
+    words = [{w for w in re.findall(r"[^\W_]{2,}", t)} for t in lower]
+    for i in range(6):  # brute force over the pairs of this one address
+        for w in {x.lower() for x in re.findall(r"[^\W_]{2,}", rows[i].replace("jo@mail.org", " ")) if len(x) > 3 or x[0].isupper() or re.search(r"\d|[一-鿿]", x)}:
+            n_term, n_both = sum(w in x for x in words), sum(w in x for x in words[:6])
+            discloses = n_both >= 3 and np.log2(n_both * n / (n_term * 6)) / np.log2(n / 6) >= 0.9
+            assert discloses == (w in {x.lower() for x in got[i]}), w
+    assert not any(got[i] for i in range(86, 88))
+
+
 def test_pages():
     html = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar"><nav><a>Menu</a></nav><div class="ad">Buy</div>
     <article><h1>Ti&amp;tle</h1><p><b>One<br>two</b> th<i>ree<p>Four &lt;5 &copy;<form>search</form><div class="comments-area"><p>No</div><p hidden>no</p><p>six</article><footer>F</footer>"""
