@@ -53,6 +53,23 @@ def test_secrets_by_assignment(text, literal):
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == ([literal] if literal else [])
 
 
+def test_secrets_of_any_length():
+    """Column-aligned pairs, long names and long literals; an indented pair is not its heading's literal."""
+    key = "q8Rz7Tn2Lw5Yp0Vb"
+    joined = '" +\n            "'.join([key] * 400)
+    for text, literal in (
+        (f"aws_secret_access_key            = {key}", key),
+        (f"client_secret\t=\t{' ' * 30}'{key}'", key),
+        (f"{'a' * 200}_token: {key}", key),
+        (f"token = {key * 400}", key * 400),
+        (f'token = "{key * 400}"', key * 400),
+        (f'token = "{joined}"', joined),
+        (f"token =\n{' ' * 12}{key}==", f"{key}=="),
+        (f"credentials:\n          password: {key}", key),
+    ):
+        assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == [literal]
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
