@@ -175,7 +175,7 @@ def _marked(spark, sf_dir):
     context_type = 'chinese' OR regexp_matches(array_to_string(sentences[1:3], ''), '[一-鿿]') AS has_chinese FROM f""")
 def join_separators(spark, sf_dir):
     s, k = F.col("sentences"), F.col("context_type")
-    joined = lambda sep: F.call_function("array_join", F.slice(s, 1, 3), sep)
+    joined = lambda sep: F.call_function("array_join", s, sep)
     return _marked(spark, sf_dir).select("sample_id", "context_type", joined(T.output_separator(k, s)).alias("out_join"), joined(T.chunk_separator(k, s)).alias("chunk_join"), T.has_chinese(k, s).alias("has_chinese"))
 
 

@@ -248,3 +248,22 @@ def test_mandatory_selection_of_whole_texts(spark, tmp_path):
                 used, kept = cost, [*kept, i]
         want[r.sample_id] = ",".join(map(str, sorted(kept) or order[:1]))
     assert {r.sample_id: r.kept for r in QUERIES["select_budget_mandatory"](spark, str(tmp_path)).collect()} == want
+
+
+def test_separators_join_every_sentence(spark, tmp_path):
+    from quern.functions import text as T
+    from quern.plans.queries import QUERIES
+
+    rows = [(0, "One. Two! Three? Four. Five."), (1, ARTICLE), (2, None), (3, "One. Two. Three. 四。")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    heads = ("新闻内容：", "Question: ", "类别 ")
+    d = spark.createDataFrame([(i, heads[i % 3] + (t or "")) for i, t in rows], "sample_id long, context string")
+    sentences = {r.sample_id: r.s for r in d.select("sample_id", T.split_english(F.col("context")).alias("s")).collect()}
+    got = QUERIES["join_separators"](spark, str(tmp_path)).collect()
+    assert len(got) == 4 * len(rows) and max(map(len, sentences.values())) > 3
+    for r in got:
+        s, kind = sentences[r.sample_id], r.context_type
+        block = kind in ("code", "fewshot") or kind == "chinese" and any(heads[0] in x for x in s)
+        assert r.out_join == ("\n\n" if block else " ").join(s)
+        assert r.chunk_join == ("\n\n" if block else "" if kind == "chinese" else " ").join(s)
+        assert r.has_chinese == (kind == "chinese" or any("一" <= c <= "鿿" for c in "".join(s[:3])))
