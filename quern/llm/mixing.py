@@ -2,9 +2,12 @@
 
 A token budget is handed down the tree by weight. A node can take no more than its supply, the
 tokens below it times the epochs allowed. What a node can't take goes first to its siblings with
-room, by their weights, and only when they are all full to the siblings of its parent. The tree has
-one node per (domain, language, source): its totals, not documents, come to the driver, where the
-weights are.
+room, by their weights, and only when they are all full to the siblings of its parent.
+
+The shares of siblings have a closed form. Put in the order of room per weight, the level
+``(amount - rooms before) / weights from here on`` rises as long as children are full and falls after; its
+maximum *m* gives each child ``min(room, m * weight)``. So a generation of the tree is one window over its
+nodes, whose number doesn't matter to the driver, which sees only the weights and the total.
 
 Each leaf then takes a prefix of its tokens from seeded epochs: an epoch is the leaf's documents in
 the order of a hash of (seed, epoch, id); full epochs are taken whole and the last one up to what is
@@ -21,10 +24,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.runtime import written
+from quern.llm.runtime import join_counted, packed, written
 
 #: Documents of a bucket, about.
 BUCKET = 2_000
+#: Leaves up to which the plan is broadcast; more of them meet the documents by ``join_counted``.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,52 +45,52 @@ class Mix:
     seed: int = 17
     default: float = 1.0
 
-    def weight(self, path: tuple[str, ...]) -> float:
-        for name in (path, (*path[:-1], "*"), (*("*" for _ in path[:-1]), path[-1])):
-            if name in self.weights:
-                return self.weights[name]
-        return self.default
-
-
-def fill(amount: float, rooms: list[float], weights: list[float]) -> list[float]:
-    """``amount`` by weight among children of limited room: what one can't take is shared by the
-    others until all are full or all is taken. Children of no weight take part only when the others
-    are full."""
-    given = [0.0] * len(rooms)
-    for group in ([i for i, w in enumerate(weights) if w > 0], [i for i, w in enumerate(weights) if w <= 0]):
-        open_ = [i for i in group if rooms[i] > 0]
-        left = amount - sum(given)
-        while open_ and left > 1e-9:
-            total = sum(max(weights[i], 0) or 1 for i in open_)
-            offer = {i: left * (max(weights[i], 0) or 1) / total for i in open_}
-            full = [i for i in open_ if offer[i] >= rooms[i]]
-            if not full:
-                for i in open_:
-                    given[i] = offer[i]
-                break
-            for i in full:
-                given[i] = rooms[i]
-                left -= rooms[i]
-            open_ = [i for i in open_ if i not in full]
-    return given
-
-
-def allot(supply: Mapping[tuple[str, ...], float], mix: Mix, budget: float) -> dict[tuple[str, ...], int]:
-    """Tokens of each leaf. ``supply`` has each leaf's tokens times epochs; the result is rounded down."""
-    depth = len(next(iter(supply))) if supply else 0
-    room: dict[tuple[str, ...], float] = {}
-    for leaf, n in supply.items():
-        for k in range(depth + 1):
-            room[leaf[:k]] = room.get(leaf[:k], 0.0) + n
-    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-    for path in sorted(p for p in room if p):
-        children.setdefault(path[:-1], []).append(path)
-    given = {(): min(budget, room.get((), 0.0))}
-    for path in sorted(children, key=len):
-        below = children[path]
-        for child, n in zip(below, fill(given[path], [room[c] for c in below], [mix.weight(c) for c in below]), strict=True):
-            given[child] = n
-    return {leaf: int(given[leaf] + 1e-6) for leaf in supply}
+
+#: What separates the names of a path.
+_SEP = "\x1f"
+
+
+def _weighed(nodes: DataFrame, path: list[str], mix: Mix) -> DataFrame:
+    """``nodes`` with ``weight``: of the path itself, of its siblings (``*`` for the last name), or of its
+    last name anywhere (``*`` for the others)."""
+    weights = nodes.sparkSession.createDataFrame([(_SEP.join(k), float(w)) for k, w in mix.weights.items()], "p string, w double")
+    stars = [F.lit("*")] * (len(path) - 1)
+    names = [F.col(c) for c in path]
+    out = nodes
+    for k, key in enumerate((names, [*names[:-1], F.lit("*")], [*stars, names[-1]])):
+        out = out.withColumn(f"p{k}", F.concat_ws(_SEP, *key)).join(weights.select(F.col("p").alias(f"p{k}"), F.col("w").alias(f"w{k}")), f"p{k}", "left")
+    return out.withColumn("weight", F.coalesce("w0", "w1", "w2", F.lit(float(mix.default)))).drop(*(f"{x}{k}" for x in "pw" for k in range(3)))
+
+
+def _handed(nodes: DataFrame, parent: list[str], path: list[str]) -> DataFrame:
+    """``nodes`` (``amount`` of the parent, ``room``, ``weight``) with ``given``. Children of no weight
+    take part only when the others are full, alike."""
+    group = F.when(F.col("weight") > 0, 0).otherwise(1)
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
+    siblings = Window.partitionBy(*parent)
+    part = Window.partitionBy(*parent, "__group")
+    order = part.orderBy("__ratio", *path)
+    df = nodes.withColumn("__group", group).withColumn("__weight", weight).withColumn("__ratio", F.col("room") / F.col("__weight"))
+    first = F.sum(F.when(F.col("__group") == 0, F.col("room")).otherwise(0.0)).over(siblings)
+    df = df.withColumn("__amount", F.when(F.col("__group") == 0, F.col("amount")).otherwise(F.greatest(F.col("amount") - first, F.lit(0.0))))
+    before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("__weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumn("__level", (F.col("__amount") - before) / rest)
+    return df.withColumn("given", F.least("room", F.greatest(F.max("__level").over(part), F.lit(0.0)) * F.col("__weight"))).drop("__group", "__weight", "__ratio", "__amount", "__level")
+
+
+def allot(leaves: DataFrame, path: list[str], mix: Mix, budget: float) -> DataFrame:
+    """``leaves`` (the columns ``path`` and ``room``, their tokens times epochs) with ``given``, the tokens of each, rounded down."""
+    above = None
+    for k in range(1, len(path) + 1):
+        here = path[:k]
+        nodes = leaves if k == len(path) else leaves.groupBy(*here).agg(F.sum("room").alias("room"))
+        nodes = _weighed(nodes, here, mix)
+        nodes = nodes.withColumn("amount", F.lit(float(budget))) if above is None else nodes.join(above, path[: k - 1])
+        above = _handed(nodes, path[: k - 1], here).drop("amount", "weight")
+        if k < len(path):
+            above = above.select(*here, F.col("given").alias("amount"))
+    return above.withColumn("given", F.floor(F.col("given") + 1e-6).cast("long"))
 
 
 def word_count(text: Column) -> Column:
@@ -94,43 +99,55 @@ def word_count(text: Column) -> Column:
 
 
 _KEYS = ["__domain", "__lang", "__source"]
+_OWN = [*_KEYS, "__tokens", "__copies"]
 
 
 def _named(docs: DataFrame, domain: Column, lang: Column, source: Column, tokens: Column, id_col: str) -> DataFrame:
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    return docs.withColumns({"__id": F.col(id_col), "__domain": name(domain), "__lang": name(lang), "__source": name(source), "__tokens": F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))})
+    return packed(docs, __id=F.col(id_col), __domain=name(domain), __lang=name(lang), __source=name(source), __tokens=F.coalesce(tokens.cast("long"), F.lit(0).cast("long")))
+
+
+def _met(rows: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what a written table of leaves has for theirs."""
+    return rows.join(F.broadcast(leaves), _KEYS, how) if leaves.count() <= BROADCAST_LEAVES else join_counted(rows, leaves, _KEYS, "__docs", how)
 
 
 def _dealt(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Rows with their leaf's plan, their place in the order of the leaf's last epoch, and the bucket
     of that place."""
-    dealt = rows.join(F.broadcast(plan), _KEYS)  # one row a leaf, as many as the driver has seen
-    order = F.xxhash64(F.lit(seed), "__epochs", F.coalesce(F.col("__id").cast("string"), F.lit("")))
-    # the order's top 52 bits as a share of 1, so that buckets follow the order
-    return dealt.withColumn("__order", order).withColumn("__bucket", F.floor((F.shiftright("__order", 12) / F.lit(2.0**52) + 0.5) * F.col("__buckets")))
+    # the first 52 bits of a digest, so that buckets follow the order
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__epochs"), F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long")
+    return _met(rows, plan).withColumn("__order", order).withColumn("__bucket", F.floor(F.col("__order") / F.lit(2.0**52) * F.col("__buckets")))
 
 
 def _plan(light: DataFrame, mix: Mix, bucket: int) -> DataFrame:
-    leaves = light.groupBy(*_KEYS).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs")).collect()
-    size = {tuple(x[k] for k in _KEYS): (x["tokens"], x["docs"]) for x in leaves}
-    total = sum(t for t, _ in size.values())
-    given = allot({k: t * mix.max_epochs for k, (t, _) in size.items()}, mix, mix.share * total if mix.share is not None else mix.budget)
-    plan = [(*k, *(divmod(given[k], t) if t else (mix.max_epochs, 0)), max(1, -(-n // bucket))) for k, (t, n) in size.items()]
-    return light.sparkSession.createDataFrame(plan, "__domain string, __lang string, __source string, __epochs long, __rest long, __buckets long")
+    leaves = written(light.groupBy(*_KEYS).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("__docs")))
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    given = allot(leaves.withColumn("room", (F.col("tokens") * mix.max_epochs).cast("double")), _KEYS, mix, mix.share * total if mix.share is not None else mix.budget)
+    some = F.col("tokens") > 0
+    return written(
+        given.select(
+            *_KEYS,
+            "__docs",
+            F.when(some, F.expr("given div tokens")).otherwise(mix.max_epochs).cast("long").alias("__epochs"),
+            F.when(some, F.col("given") % F.col("tokens")).otherwise(0).cast("long").alias("__rest"),
+            F.ceil(F.col("__docs") / bucket).alias("__buckets"),
+        )
+    )
 
 
 def _cut(dealt: DataFrame) -> DataFrame:
     """Of each leaf whose last epoch is cut, the bucket that the cut runs through and the tokens before it."""
-    sums = dealt.where("__rest > 0").groupBy(*_KEYS, "__bucket", "__rest").agg(F.sum("__tokens").alias("n"))
+    sums = dealt.where("__rest > 0").groupBy(*_KEYS, "__docs", "__bucket", "__rest").agg(F.sum("__tokens").alias("n"))
     sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("__bucket")))
     over = sums.where(F.col("upto") > F.col("__rest")).withColumn("before", F.col("upto") - F.col("n"))
-    return over.groupBy(*_KEYS).agg(F.min_by(F.struct(F.col("__bucket").alias("__cut"), F.col("before").alias("__before")), "__bucket").alias("c")).select(*_KEYS, "c.*")
+    return over.groupBy(*_KEYS, "__docs").agg(F.min_by(F.struct(F.col("__bucket").alias("__cut"), F.col("before").alias("__before")), "__bucket").alias("c")).select(*_KEYS, "__docs", "c.*")
 
 
 def taken(docs: DataFrame, mix: Mix, domain: Column, lang: Column, source: Column, tokens: Column, id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with ``__domain, __lang, __source, __tokens, __copies`` added; ``__copies`` is how often
-    the mix takes the row, 0 for one that it leaves out. Rows are not moved, but for those of the bucket
-    of each leaf that the cut runs through.
+    """``docs`` with ``__domain, __lang, __source, __tokens, __copies`` added, in place of columns so named; ``__copies``
+    is how often the mix takes the row, 0 for one that it leaves out. Rows are not moved, but for those of the bucket
+    of each leaf that the cut runs through, and all of them where there are more than ``BROADCAST_LEAVES`` leaves.
 
     A leaf never gets more than its allotment: the document over which the cut runs is left out with
     those after it, so up to one document's tokens of a leaf stay unused. Documents without tokens
@@ -141,22 +158,23 @@ def taken(docs: DataFrame, mix: Mix, domain: Column, lang: Column, source: Colum
     light = written(named.select("__id", *_KEYS, "__tokens"))
     plan = _plan(light, mix, bucket)
     cut = written(_cut(_dealt(light, plan, mix.seed)))
-    marked = _dealt(named, plan, mix.seed).join(F.broadcast(cut), _KEYS, "left")  # one row a leaf at most
+    marked = _met(_dealt(named, plan, mix.seed).drop("__docs"), cut, "left")
     last, here = F.col("__rest") > 0, F.col("__bucket") == F.col("__cut")
     at_cut = F.coalesce(last & here, F.lit(False))
     whole = F.coalesce(last & (F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut"))), F.lit(False))
-    inside = Window.partitionBy(*_KEYS).orderBy("__order", "__id", "__row")
-    edge = marked.where(at_cut).withColumn("__row", F.monotonically_increasing_id())
+    inside = Window.partitionBy(*_KEYS).orderBy("__order", "__id", "__place")
+    edge = marked.where(at_cut).withColumn("__place", F.monotonically_increasing_id())
     edge = edge.withColumn("__upto", F.col("__before") + F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # once the cut has been passed nothing behind it is taken
     edge = edge.withColumn("__extra", F.min((F.col("__upto") <= F.col("__rest")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rest = marked.where(~at_cut).withColumn("__extra", whole.cast("int"))
-    columns = [*docs.columns, *_KEYS, "__tokens", (F.col("__epochs") + F.col("__extra")).cast("int").alias("__copies")]
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c not in _OWN]
+    columns = [*kept, *_KEYS, "__tokens", (F.col("__epochs") + F.col("__extra")).cast("int").alias("__copies")]
     return rest.select(columns).unionByName(edge.select(columns))
 
 
 def select(docs: DataFrame, mix: Mix, domain: Column, lang: Column, source: Column, tokens: Column, id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """``id, domain, lang, source, n_tokens, copies`` of ``taken``, one row per input row."""
-    narrow = _named(docs, domain, lang, source, tokens, id_col).select("__id", *[F.col(k).alias(k[2:]) for k in _KEYS], F.col("__tokens").alias("n_tokens"))
-    rows = taken(narrow, mix, F.col("domain"), F.col("lang"), F.col("source"), F.col("n_tokens"), "__id", bucket)
-    return rows.select(F.col("__id").alias("id"), "domain", "lang", "source", "n_tokens", F.col("__copies").alias("copies"))
+    narrow = _named(docs, domain, lang, source, tokens, id_col).select(F.col("__id").alias("id"), *[F.col(k).alias(k[2:]) for k in _KEYS], F.col("__tokens").alias("n_tokens"))
+    rows = taken(narrow, mix, F.col("domain"), F.col("lang"), F.col("source"), F.col("n_tokens"), "id", bucket)
+    return rows.select("id", "domain", "lang", "source", "n_tokens", F.col("__copies").alias("copies"))
