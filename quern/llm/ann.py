@@ -13,10 +13,10 @@ Largest inner product becomes smallest distance by one more coordinate: with ``M
 the original vectors in double precision.
 
 Distribution: vectors are packed into segments of about ``SEGMENT`` rows and queries into blocks
-of about ``BLOCK``; each (segment, block) is one row of a join on the segment's number, so the
-stated query set meets all rows in blocks of bounded size. A segment returns its own best k for each
-query and the best k of those are the answer; rows fall to segments by a hash of the
-id, so equal vectors are spread.
+of about ``BLOCK``, and blocks are gathered to groups of about ``GROUP``. A task is one (segment, group):
+it builds the segment's sorted arrays once and searches them for the group's queries, so the stated query
+set meets all rows in work of bounded size. A segment returns its own best k for each query and the
+best k of those are the answer; rows fall to segments by a hash of the id, so equal vectors are spread.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.runtime import in_arrow, written
 
-#: Vectors of a segment, queries of a block.
-SEGMENT, BLOCK = 16_384, 512
+#: Vectors of a segment, queries of a block, queries of a group.
+SEGMENT, BLOCK, GROUP = 16_384, 128, 4_096
 #: Projections, the share of them in which a near vector must collide, and the growth of the radius.
 PROJECTIONS, SHARE, RATIO = 64, 0.53, 1.25
 #: Half a window as a multiple of the radius; a vector at the radius collides with a chance of
@@ -94,14 +94,14 @@ def usable(vector):
 
 
 def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """Rows ``id, v`` packed into ``parts`` rows ``name long, ids binary, vs binary``, by a hash of the
-    id, so that equal vectors are spread. How many there are does not depend on the partitions."""
+    """Rows ``id, v`` packed into up to ``parts`` rows ``name long, ids binary, vs binary``, by a hash of the
+    id, so that equal vectors are spread. ``name`` is a number below ``parts``."""
 
     def pack(batches):
         now, ids, vs = None, [], []
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vs).tobytes()], pa.binary())], ["ids", "vs"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vs).tobytes()], pa.binary())], [name, "ids", "vs"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -113,14 +113,14 @@ def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
                 if ids and part[lo] != now:
                     yield row()
                     ids, vs = [], []
-                now = part[lo]
+                now = int(part[lo])
                 ids.append(id_[lo:hi])
                 vs.append(v[lo:hi].copy())
         if ids:
             yield row()
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("part", "id")
-    return in_arrow(dealt, pack, "ids binary, vs binary").withColumn(name, F.monotonically_increasing_id())
+    return in_arrow(dealt, pack, f"{name} long, ids binary, vs binary")
 
 
 def search(
@@ -153,10 +153,15 @@ def search(
     double = rows.schema["v"].dataType.elementType.typeName() == "double"
     kind = np.float64 if double else np.float32
     segments = written(_packed(rows, n_parts, "segment"))
-    blocks = _packed(rows.where(F.col("id") % every == 0), max(1, -(-most["n"] // (every * block))), "block").select(F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-    numbers = [r["segment"] for r in segments.select("segment").collect()]  # one number for each ``segment`` rows
-    meetings = blocks.withColumn("segment", F.explode(F.array(*map(F.lit, numbers)))) if len(numbers) <= 1000 else blocks.crossJoin(segments.select("segment"))
-    pairs = meetings.repartition(max(1, len(numbers)), "segment").join(segments, "segment")
+    n_queries = -(-most["n"] // every)
+    n_blocks = max(1, -(-n_queries // block))
+    # enough groups for all cores, and none larger than ``GROUP``
+    n_groups = min(n_blocks, max(-(-n_queries // GROUP), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_parts)))
+    blocks = _packed(rows.where(F.col("id") % every == 0), n_blocks, "block").select((F.col("block") % n_groups).alias("group"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+    meetings = blocks.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    searched = segments.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    tasks = n_parts * n_groups
+    pairs = meetings.repartition(tasks, "segment", "group").join(searched.repartition(tasks, "segment", "group"), ["segment", "group"])
 
     def run(batches):
         last, held = None, None
