@@ -87,6 +87,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *(n(k) for k in pii.KINDS[:-1]), F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
 
 
+def _mix_sql(mix: mixing.Mix) -> str:
+    """The allotment by levels (the largest of (amount - rooms before) / weights from here on) and the sorted prefix of each leaf.
+    All weights of the mix are positive."""
+
+    def weight(*path: str) -> str:
+        rank = {True: 0, False: 1}
+        cases = []
+        for key, w in sorted(mix.weights.items(), key=lambda x: rank["*" not in x[0]]):
+            if len(key) == len(path):
+                cases.append(f"WHEN {' AND '.join(f'{c} = {v!r}' for c, v in zip(path, key, strict=True) if v != '*')} THEN {w}::DOUBLE")
+        return f"CASE {' '.join(cases)} ELSE {mix.default}::DOUBLE END" if cases else f"{mix.default}::DOUBLE"
+
+    def handed(name: str, nodes: str, parent: str, path: list[str]) -> str:
+        by = f"PARTITION BY {parent}" if parent else ""
+        return f"""{name}w AS (SELECT *, {weight(*path)} AS w FROM {nodes}),
+        {name}l AS (SELECT *, (amount - coalesce(sum(room) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}w WINDOW v AS ({by} ORDER BY room / w, {', '.join(path)})),
+        {name} AS (SELECT * EXCLUDE (amount, w, level), least(room, greatest(max(level) OVER ({by}), 0) * w) AS given FROM {name}l)"""
+
+    return rf"""
+        WITH n AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_tokens,
+                CASE WHEN source = 'src0' THEN 'hub' WHEN regexp_full_match(source, 'src[0-7]') THEN 'curated' ELSE 'web' END AS domain FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens)::DOUBLE * {mix.max_epochs} AS room FROM n GROUP BY ALL),
+        d0 AS (SELECT domain, sum(room) AS room, {mix.share}::DOUBLE * (SELECT sum(tokens) FROM leaves)::DOUBLE AS amount FROM leaves GROUP BY 1),
+        {handed("d", "d0", "", ["domain"])},
+        g0 AS (SELECT x.domain, x.lang, x.room, d.given AS amount FROM (SELECT domain, lang, sum(room) AS room FROM leaves GROUP BY 1, 2) x JOIN d USING (domain)),
+        {handed("g", "g0", "domain", ["domain", "lang"])},
+        s0 AS (SELECT l.domain, l.lang, l.source, l.tokens, l.room, g.given AS amount FROM leaves l JOIN g ON l.domain = g.domain AND l.lang = g.lang),
+        {handed("s", "s0", "domain, lang", ["domain", "lang", "source"])},
+        p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(given + 1e-6)::BIGINT // tokens ELSE {mix.max_epochs} END AS epochs, CASE WHEN tokens > 0 THEN floor(given + 1e-6)::BIGINT % tokens ELSE 0 END AS rest FROM s),
+        o AS (SELECT n.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(md5('{mix.seed}:' || epochs || ':' || doc_id), 1, 13), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM n JOIN p USING (domain, lang, source))
+        SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS copies FROM o"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_ann": op2_ann,
@@ -125,8 +158,14 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT u.doc_id, a AS place, hex(array_slice(b, coalesce(lag(e) OVER (PARTITION BY u.doc_id ORDER BY a), 0) + 1, a)) AS x FROM u JOIN d USING (doc_id)
               UNION ALL SELECT d.doc_id, octet_length(b) + 1, hex(array_slice(b, coalesce(m.e, 0) + 1, octet_length(b))) FROM d LEFT JOIN (SELECT doc_id, max(e) AS e FROM u GROUP BY 1) m USING (doc_id)),
         t AS (SELECT doc_id, sha256(unhex(string_agg(x, '' ORDER BY place))) AS kept_sha256 FROM k GROUP BY 1),
-        c AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM u GROUP BY 1)
-        SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""",
+        c AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM u GROUP BY 1),
+        ws AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+        wh AS (SELECT doc_id, unnest(range(len(ws) - 49)) AS s, unnest(list_transform(range(len(ws) - 49), lambda i: hash(ws[i + 1 : i + 50]))) AS h FROM ws WHERE len(ws) >= 50),
+        wr AS (SELECT doc_id, s FROM wh QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        wn AS (SELECT doc_id, sum(least(50, n - s))::BIGINT AS n_passage_words FROM (SELECT doc_id, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), s + 50) AS n FROM wr) GROUP BY 1)
+        SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256, coalesce(n_passage_words, 0) AS n_passage_words
+        FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN wn USING (doc_id)""",
+    "op4_mixing": _mix_sql(PRODUCTION_MIX),
     # of the template that the test pages have
     "op6_html": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, ngram_join, suffix_dedup
+from quern.llm import exact_dedup, ngram_join, runtime, suffix_dedup
 from quern.llm.components import components
 from quern.llm.shingles import MinHash, jaccard, shingles
 
@@ -33,11 +34,37 @@ def test_exact(spark, docs):
         assert sum(r.kept for r in by[k]) == 1 and all(r.id == first for r in by[k] if r.kept)
 
 
-@pytest.mark.parametrize("limit", [exact_dedup.SURVIVOR_BYTES, 0])
-def test_exact_without_hashing_all(docs, limit):
+@pytest.mark.parametrize("bits", [runtime.MOST_BITS, 1 << 15])
+def test_exact_without_hashing_all(docs, bits, monkeypatch):
+    monkeypatch.setattr(runtime, "MOST_BITS", bits)
     columns = ["id", "keep_id", "group_size", "kept"]
     rows = lambda df: sorted(map(str, df.select(columns).collect()))
-    assert rows(exact_dedup.exact_dedup(docs, survivor_bytes=limit)) == rows(exact_dedup.exact_dedup(docs, hash_all=True))
+    assert rows(exact_dedup.exact_dedup(docs)) == rows(exact_dedup.exact_dedup(docs, hash_all=True))
+
+
+def test_exact_with_hot_groups(docs, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_dedup(docs, hash_all=True).collect()))
+    monkeypatch.setattr(runtime, "LEAST_HOT", 1)
+    monkeypatch.setattr(runtime, "MOST_HOT", 20)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs, hash_all=True).collect())) == want
+
+
+def test_sieve_never_leaves_a_key_out(spark):
+    keys = spark.range(0, 60_000, 3).withColumn("h", F.xxhash64("id"))
+    got = runtime.sifted(spark.range(60_000), F.xxhash64("id"), runtime.sieve(keys, F.col("h")), "may").groupBy((F.col("id") % 3 == 0).alias("key"), "may").count().collect()
+    n = {(r["key"], r["may"]): r["count"] for r in got}
+    assert n[True, True] == 20_000 and (True, False) not in n and n[False, True] < 4_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("least", [1_000, 3])
+def test_join_counted(spark, monkeypatch, how, least):
+    monkeypatch.setattr(runtime, "LEAST_HOT", least)
+    rows = spark.range(3_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 500 + 1_000))
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k < 1400")
+    plain = rows.join(keys, ["k"], how)
+    got = runtime.join_counted(rows, keys, ["k"], "n", how)
+    assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_keep_first(docs, no_docs):
@@ -48,6 +75,15 @@ def test_keep_first(docs, no_docs):
     assert exact_dedup.keep_first(no_docs).count() == 0
 
 
+def test_keep_first_under_names_of_its_own(spark):
+    """Ids and columns named like those that are used inside; rows alike in id and text, and in text only."""
+    rows = [(1, "a  b", 0), (1, "a  b", 1), (1, "a b", 2), (2, "a b", 3), (3, "c", 4), (None, "c", 5), (None, "d", 6), (None, "d", 7)]
+    df = spark.createDataFrame(rows, "id long, t string, __row long").repartition(3)
+    got = [(r["id"], r.t) for r in exact_dedup.keep_first(df, "id", "t").collect()]
+    assert sorted(map(str, got)) in (sorted(map(str, [(1, x), (3, "c"), (None, "d")])) for x in ("a  b", "a b"))
+    assert exact_dedup.keep_first(df, "id", "t").columns == df.columns
+
+
 def brute_links(rows, least=0.8):
     sets = [shingles(t) for _, t in rows]
     links = [{j for j in range(len(rows)) if j != i and jaccard(sets[i], sets[j]) >= least} for i in range(len(rows))]
@@ -82,6 +118,16 @@ def test_keep_one(docs, no_docs):
     assert ngram_join.join(no_docs).count() == 0
 
 
+def test_keep_one_drops_rows_and_not_ids(spark):
+    """A row that only shares an id with a dropped one stays; of equal rows of one id one stays."""
+    a, other = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (2, a), (2, other), (5, prose(3, 50)), (5, prose(3, 50)), (6, swap(other, 3)), (None, a), (7, None), (7, ""), (8, " ")]
+    df = spark.createDataFrame(rows, "id long, key string").repartition(3)
+    got = [(r.id, r.key) for r in ngram_join.keep_one(df, "id", "key").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (2, other), (5, prose(3, 50)), (7, None), (7, ""), (8, " ")]))
+    assert ngram_join.keep_one(df.limit(0), "id", "key").count() == 0
+
+
 def test_banding_recall():
     draw, found, pairs = np.random.default_rng(0), 0, 400
     m = MinHash(ngram_join.BANDS, ngram_join.ROWS)
@@ -125,19 +171,28 @@ def brute_removed(texts, length=suffix_dedup.LENGTH):
     return out
 
 
+def brute_passages(texts, length=suffix_dedup.PASSAGE):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    return [len({j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}) for w in words]
+
+
 def passages():
     p, q = prose(900, 90), prose(901, 70)
     rows = list(ROWS) + [(50 + i, f"{prose(600 + i, 12)} {p[i:]} {prose(700 + i, 9)}") for i in range(9)] + [(70 + i, f"{q} {prose(800 + i, 5)} {q[:420]}") for i in range(3)]
+    short = " ".join(f"w{i}" for i in range(60))  # 60 words in fewer than 400 bytes
+    rows += [(90 + i, f"{prose(950 + i, 8)}\n{short}  {prose(960 + i, 8)}") for i in range(3)] + [(95, " ".join(short.split()[5:54])), (96, short.replace(" ", "\t"))]
     return rows + [(80, "ab" * 900), (81, "x" * 399), (82, "x" * 400), (83, "This " * 300), (84, p + p), (85, "é" * 350)]
 
 
 def removed(spark):
     rows = passages()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, raw string, unit int").repartition(3)
     got = suffix_dedup.remove_repeats(df, with_text=True).collect()
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
-    want = [(i, *x) for (i, _), x in zip(rows, brute_removed([t for _, t in rows]), strict=True)]
-    assert sorted(map(str, ((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(map(str, want))
+    texts = [t for _, t in rows]
+    want = [(i, *x, n) for (i, _), x, n in zip(rows, brute_removed(texts), brute_passages(texts), strict=True)]
+    assert sorted(map(str, ((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in got))) == sorted(map(str, want))
 
 
 def test_suffix(spark):

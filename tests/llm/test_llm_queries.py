@@ -10,7 +10,7 @@ from quern.llm.queries import ORACLE_SQL, QUERIES
 COLUMNS = {
     "op1_ngram_join": ["doc_id", "class_id", "n_links", "n_copies"],
     "op2_ann": ["query_id", "rank", "vec_id", "score"],
-    "op3_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op3_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"],
     "op4_mixing": ["doc_id", "domain", "lang", "source", "n_tokens", "copies"],
     "op5_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op6_html": ["page_id", "url", "text", "n_chars"],

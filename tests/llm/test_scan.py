@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, html_text, pii, quality, secrets
-from quern.llm.queries import vocabulary
+from quern.llm.queries import op5_secrets, vocabulary
 
 from .conftest import ROWS, prose
 
@@ -53,6 +53,83 @@ def test_secrets_by_assignment(text, literal):
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == ([literal] if literal else [])
 
 
+K, L = "q8Rz7Tn2Lw5Yp0Vb", "Zk3Wv9Xc6Mj1Hd4S"
+
+
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        # constants carried along
+        (f'A = "{K}"\nB = "{L}"\napi_token = A + B', [K, L]),
+        (f'A = "{K}"\nB = A\nsecret_key = B', [K]),
+        (f'const PART = `{K}`;\nconst password = "x-${{PART}}";', ["x-${PART}", K]),
+        (f'SUFFIX={K}\nexport DB_PASSWORD="${{SUFFIX}}{L}"', ["${SUFFIX}" + L, K]),
+        (f'a = client_secret = "{K}"', [K]),
+        (f"user = 'x'\npassword = user", []),
+        # strings
+        (f"password = \"it's-{K}\"", [f"it's-{K}"]),
+        (f"password = 'say \\'{K}'", []),  # of several words
+        (f"password = 'a\\'{K}'", [f"a\\'{K}"]),
+        (f'token = """\n  {K}\n"""', [K]),
+        (f'token = ("{K}"\n         "{L}")', [f'{K}"\n         "{L}']),
+        (f"$token = '{K}' . '{L}';", [f"{K}' . '{L}"]),
+        (f'private_key = r"{K}"', [K]),
+        (f'it\'s a token = "{K}" isn\'t it', [K]),
+        # languages
+        (f'let token: string = "{K}";', [K]),
+        (f'String apiKey = new String("{K}");', [K]),
+        (f'config["password"] = "{K}"', [K]),
+        (f"{{'auth_token' => '{K}'}}", [K]),
+        (f'os.environ.setdefault("DB_PASSWORD", "{K}")', [K]),
+        (f'if (password == "{K}") ok();', [K]),
+        (f'// password = "{K}"', [K]),
+        (f"/* api_key: {K} */", [K]),
+        # configuration
+        (f'{{"db": {{"password":\n "{K}"}}}}', [K]),
+        (f"db:\n  password: |\n    {K}\n  port: 5432", [K]),
+        (f"env:\n  - name: DB_PASSWORD\n    value: {K}", [K]),
+        (f'{{"name": "api_key", "value": "{K}"}}', [K]),
+        (f'<add key="AccountPassword" value="{K}"/>', [K]),
+        (f"[db]\npassword = {K} ; old\n", [K]),
+        (f"PASSWORD=$(cat <<EOF\n{K}\nEOF\n)", [K]),
+        (f"run --api-key {K} --verbose", [K]),
+        (f"run --password={K}", [K]),
+        (f"Authorization: Bearer {K}", [K]),
+        (f"DATABASE=postgres://me:{K}@host/db", [f"postgres://me:{K}@host/db", K][1:]),
+        (f'name: colour\nvalue: "{K}"', []),
+        ("password: ${SECRET}\npassword: os.getenv('DB_PASSWORD')", []),
+        ('password = "', []),
+        ("token = <<EOF\nno end", []),
+    ],
+)
+def test_secrets_by_syntax(text, literals):
+    got = sorted({(a, b) for a, b, _ in secrets.literal_spans(text)})
+    assert sorted(text[a:b] for a, b in got) == sorted(literals)
+
+
+def test_secrets_in_linear_time():
+    """Openings without an end, deep chains and long runs don't make the lexer read the text again and again."""
+    import time
+
+    n = 200_000
+    for text in ("token = <<A\n" * (n // 12), 'token="' * (n // 7), "token='\\\\" * (n // 9), "a=" * (n // 2) + "token", "token: |\n  " * (n // 10), 'token = "a" + ' * (n // 14), "x" * n + " token = ", "token " * (n // 6), "://" * (n // 3), '"token" ' * (n // 8), 'token = token + "ab"\n' * (n // 22), f"A={'x1' * n}\n" + "token = A\n" * (n // 10)):
+        began = time.process_time()
+        secrets.literal_spans(text)
+        assert time.process_time() - began < 5
+
+
+def test_registered_secrets(spark, data):
+    """Each digest of the registered query, from the patterns and the lexer by hand."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in op5_secrets(spark, data).collect():
+        found = base(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in found) for kind in secrets.KINDS[:3]]
+        more = [("literal", a, b) for a, b, _ in secrets.literal_spans(texts[r.doc_id])]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found + more, key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2])))
+
+
 def test_secrets_of_any_length():
     """Column-aligned pairs, long names and long literals; an indented pair is not its heading's literal."""
     key = "q8Rz7Tn2Lw5Yp0Vb"
