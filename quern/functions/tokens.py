@@ -16,6 +16,10 @@ class TokenCounter(Protocol):
 
     def tokens(self, text: Column) -> Column: ...
 
+    def encoder(self):
+        """A function for Python workers: a text's tokens, and where each starts and ends."""
+        ...
+
 
 class _Native:
     """Counters of built-in expressions only, which lambdas may use."""
@@ -39,6 +43,19 @@ class RegexTokenCounter(_Native):
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({self.pattern})"), F.lit(1))
 
 
+    def encoder(self):
+        import regex
+
+        # white space as in the JVM's patterns, inside a set and outside
+        pattern = regex.compile(self.pattern.replace(r"\s", r"[\t\n\x0b\f\r\x20]"), regex.V1)
+
+        def encode(text: str):
+            found = [(m.start(), m.end()) for m in pattern.finditer(text)]
+            return [text[a:b] for a, b in found], [a for a, _ in found], [b for _, b in found]
+
+        return encode
+
+
 @dataclass(frozen=True)
 class CharTokenCounter(_Native):
     """One token for each ``chars`` characters, rounded down: not additive over joined texts."""
@@ -52,6 +69,16 @@ class CharTokenCounter(_Native):
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(.{{1,{self.chars}}})"), F.lit(1))
 
 
+    def encoder(self):
+        n = self.chars
+
+        def encode(text: str):
+            starts = range(0, len(text), n)
+            return [text[a : a + n] for a in starts], [*starts], [min(a + n, len(text)) for a in starts]
+
+        return encode
+
+
 #: One token for each CJK character, runs of Latin, Greek and Cyrillic letters, single others.
 CJK_TOKENS = RegexTokenCounter(r"[一-鿿]|[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]+|\p{N}|[^\s\p{L}\p{N}]")
 
@@ -70,11 +97,7 @@ class HFTokenCounter:
         path = self.path
 
         def load():
-            from tokenizers import Tokenizer
-
-            if path not in _LOADED:
-                _LOADED[path] = Tokenizer.from_file(path)
-            return _LOADED[path]
+            return loaded(path)
 
         def count(texts):
             return pd.Series([len(e.ids) for e in load().encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int32")
@@ -90,6 +113,36 @@ class HFTokenCounter:
         made = {"count": (count, "int"), "each": (each, "array<int>"), "tokens": (surface, "array<string>")}
         return F.pandas_udf(*made[kind], F.PandasUDFType.SCALAR)
 
+    def encoder(self):
+        path = self.path
+
+        def encode(text: str):
+            e = loaded(path).encode(text, add_special_tokens=False)
+            return e.tokens, [a for a, _ in e.offsets], [b for _, b in e.offsets]
+
+        return encode
+
+    def windows(self, sentences: Column, counts: Column, size: Column) -> Column:
+        """For each sentence of more than ``size`` tokens its windows of that many, as they stand in the text; null for others."""
+        import pandas as pd
+
+        path = self.path
+
+        def run(rows, tokens, sizes):
+            out = []
+            for sentences, n, size in zip(rows, tokens, sizes, strict=True):
+                cut = []
+                for s, k in zip(sentences, n, strict=True) if sentences is not None else ():
+                    if k <= size:
+                        cut.append(None)
+                        continue
+                    starts = [0, *(a for a, _ in loaded(path).encode(s, add_special_tokens=False).offsets[size::size]), len(s)]
+                    cut.append([s[a:b] for a, b in zip(starts, starts[1:], strict=False)])
+                out.append(cut)
+            return pd.Series(out)
+
+        return F.pandas_udf(run, "array<array<string>>", F.PandasUDFType.SCALAR)(sentences, counts, size)
+
     def count_each(self, texts: Column) -> Column:
         return self._udf("each")(texts)
 
@@ -101,3 +154,12 @@ class HFTokenCounter:
 
 
 _LOADED: dict[str, object] = {}
+
+
+def loaded(path: str):
+    """A tokenizer, read once by each Python worker."""
+    from tokenizers import Tokenizer
+
+    if path not in _LOADED:
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]

@@ -1,15 +1,17 @@
 """Characters, tokens and sentences: which tokens a sentence covers.
 
-Tables are long: one row per token or sentence. ``sample_id`` is in every key, so joins are hash or
+``aligned`` and ``align_prompt`` work on a sample's row. The other tables are long: one row per token or sentence. ``sample_id`` is in every key, so joins are hash or
 sort-merge joins with the overlap as residual condition, and all steps share one partitioning.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.tokens import RegexTokenCounter
+from quern.functions.tokens import RegexTokenCounter, TokenCounter
 
 
 def sentence_rows(samples: DataFrame, sentences: Column) -> DataFrame:
@@ -104,3 +106,43 @@ def token_sentence(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """``sample_id, tok_idx, sent_idx``: the sentence that a token belongs to, the last one if several."""
     last = span_tokens(spans).groupBy("sample_id", "tok_idx").agg(F.max("sent_idx").alias("sent_idx"))
     return tokens.select("sample_id", "tok_idx").join(last, ["sample_id", "tok_idx"], "left")
+
+
+def align_prompt(starts: list[int], ends: list[int], context: str, sentences: list[str], context_at: int = 0) -> tuple[list[tuple[int, int] | None], tuple[int, int] | None]:
+    """The first and last token of each sentence and of the context, of one prompt whose tokens stand at
+    ``starts`` to ``ends`` and whose context begins at ``context_at``. Sentences are looked for in the context in order, each from
+    the end of the one before; None for one that isn't there or that no token overlaps."""
+    first, last = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+
+    def between(a: int, b: int) -> tuple[int, int] | None:
+        lo, hi = int(np.searchsorted(last, a, "right")), int(np.searchsorted(first, b, "left")) - 1
+        return (lo, hi) if lo <= hi else None
+
+    spans, at = [], 0
+    for s in sentences:
+        here = context.find(s, at)
+        spans.append(between(context_at + here, context_at + here + len(s)) if here >= 0 and s else None)
+        at = here + len(s) if here >= 0 else at
+    return spans, between(context_at, context_at + len(context))
+
+
+def aligned(samples: DataFrame, text: Column, sentences: Column, counter: TokenCounter | None = None) -> DataFrame:
+    """``sample_id, sent_idx, tok_start, tok_end, n_tokens`` of the sentences of each text. Tokens and
+    sentences of a sample meet on its row, in Arrow batches: nothing is shuffled and no token is a row."""
+    encode = (counter or RegexTokenCounter()).encoder
+
+    def run(batches):
+        of = encode()
+        for batch in batches:
+            rows, out = [], ([], [], [], [])
+            for r, (t, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                _, starts, ends = of(t or "")
+                for i, span in enumerate(align_prompt(starts, ends, t or "", s or [])[0]):
+                    rows.append(r)
+                    for o, v in zip(out, (i, *(span or (None, None)), span[1] - span[0] + 1 if span else 0), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(o, pa.int32()) for o in out)], ["sample_id", "sent_idx", "tok_start", "tok_end", "n_tokens"])
+
+    rows = samples.select("sample_id", text.alias("t"), sentences.alias("s"))
+    kind = rows.schema["sample_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"sample_id {kind}, sent_idx int, tok_start int, tok_end int, n_tokens int")

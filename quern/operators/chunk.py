@@ -26,7 +26,7 @@ def _windows(tokens, size):
 
 
 def pack(sentences: Column, sentence_tokens: Column, size: Column, context_type: Column) -> Column:
-    """``array<struct<sentences, is_piece>>``: sentences in order, each chunk filled while it fits. A
+    """``array<struct<sentences, is_piece, first>>``: sentences in order, each chunk filled while it fits. A
     joined sentence costs one token more unless the text is Chinese. A sentence larger than a chunk
     closes the open one and stands alone as ``is_piece``."""
     return bind(_pack, sentences, sentence_tokens, size, context_type)
@@ -54,20 +54,22 @@ def _pack(sentences, sentence_tokens, size, context_type):
         )
 
     ranges = F.aggregate(sentence_tokens, start, step, closed)
-    return F.transform(ranges, lambda r: F.struct(F.slice(sentences, r["first"] + 1, r["last"] - r["first"]).alias("sentences"), r["is_piece"].alias("is_piece")))
+    return F.transform(ranges, lambda r: F.struct(F.slice(sentences, r["first"] + 1, r["last"] - r["first"]).alias("sentences"), r["is_piece"].alias("is_piece"), r["first"].alias("first")))
 
 
-def chunk_sentences(sentences: Column, sentence_tokens: Column, room: Column, context_type: Column, counter: TokenCounter, min_words: int = 1, disabled: bool = False) -> Column:
+def chunk_sentences(sentences: Column, sentence_tokens: Column, room: Column, context_type: Column, counter: TokenCounter, min_words: int = 1, disabled: bool = False, windows: Column | None = None) -> Column:
     """``array<array<string>>``: the sentences of each chunk, one chunk if all fit. Pieces of an oversized
-    sentence are cut into sentences again."""
-    return bind(lambda s, n, r, k: _chunk_sentences(s, n, r, k, counter, min_words, disabled), sentences, sentence_tokens, room, context_type)
+    sentence are cut into sentences again. ``windows`` has the pieces of each sentence for counters that are not Column expressions."""
+    if windows is None:
+        return bind(lambda s, n, r, k: _chunk_sentences(s, n, r, k, lambda c: token_windows(c["sentences"][0], r, counter), min_words, disabled), sentences, sentence_tokens, room, context_type)
+    return bind(lambda s, n, r, k, w: _chunk_sentences(s, n, r, k, lambda c: F.element_at(w, c["first"] + 1), min_words, disabled), sentences, sentence_tokens, room, context_type, windows)
 
 
-def _chunk_sentences(sentences, sentence_tokens, room, context_type, counter, min_words, disabled):
+def _chunk_sentences(sentences, sentence_tokens, room, context_type, pieces, min_words, disabled):
     cut = F.flatten(
         F.transform(
             pack(sentences, sentence_tokens, room, context_type),
-            lambda c: F.when(c["is_piece"], F.transform(token_windows(c["sentences"][0], room, counter), lambda p: split_context(p, context_type, min_words))).otherwise(F.array(c["sentences"])),
+            lambda c: F.when(c["is_piece"], F.transform(pieces(c), lambda p: split_context(p, context_type, min_words))).otherwise(F.array(c["sentences"])),
         )
     )
     return F.when(needs_chunking(sentence_tokens, room, disabled), cut).otherwise(F.array(sentences))

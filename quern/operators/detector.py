@@ -17,8 +17,7 @@ LEAST_SCALE = 1e-8
 
 @dataclass(frozen=True)
 class Detector:
-    """Coefficients of ``sigmoid((x - mean) / scale . coef + intercept)``. ``heads`` marks coefficients
-    that cover one layer and are repeated for each."""
+    """Coefficients of ``sigmoid((x - mean) / scale . coef + intercept)``."""
 
     coef: tuple[float, ...]
     intercept: float = 0.0
@@ -59,23 +58,36 @@ class Detector:
         scaler = next((s for s in steps if hasattr(s, "mean_") and hasattr(s, "scale_")), None)
         return cls.from_dict({"coef": linear.coef_, "intercept": linear.intercept_} | ({"mean": scaler.mean_, "scale": scaler.scale_} if scaler is not None else {}))
 
-    def sized(self, n: int) -> Detector:
-        """For ``n`` features: as it is, or repeated for each layer."""
-        if n == len(self.coef):
-            return self
-        if n % len(self.coef):
+    def repeats(self, n: int) -> int:
+        """How often ``n`` features, one layer's, are repeated to meet the coefficients of all layers."""
+        if n < 1 or len(self.coef) % n:
             raise ValueError(f"{n} features, but the detector has {len(self.coef)} coefficients")
-        k = n // len(self.coef)
-        return Detector(self.coef * k, self.intercept, self.mean and self.mean * k, self.scale and self.scale * k)
+        return len(self.coef) // n
 
     def score(self, x: Column) -> Column:
-        """Probability for an array of as many features as there are coefficients."""
+        """Probability for an array of features: as many as there are coefficients, or of one layer, which stand
+        for each layer then. Another size is an error; a null array has a null score."""
+        size = len(self.coef)
+        n = F.size(x)
+        wrong = F.raise_error(F.concat(n.cast("string"), F.lit(f" features, but the detector has {size} coefficients"))).cast("array<double>")
+        x = F.when(x.isNull(), F.lit(None)).when(n == size, x.cast("array<double>")).when((n > 0) & (F.lit(size) % F.greatest(n, F.lit(1)) == 0), F.flatten(F.array_repeat(x.cast("array<double>"), F.floor(F.lit(size) / n).cast("int")))).otherwise(wrong)
         if self.mean is not None:
             x = F.zip_with(x, _array(self.mean), lambda a, m: a - m)
         if self.scale is not None:
             x = F.zip_with(x, _array([max(s, LEAST_SCALE) for s in self.scale]), lambda a, s: a / s)
         return 1.0 / (1.0 + F.exp(-(dot(x, _array(self.coef)) + F.lit(float(self.intercept)))))
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """``score`` of rows of features, by numpy."""
+        if not len(x):
+            return np.zeros(0)
+        x = np.tile(x, (1, self.repeats(x.shape[1])))
+        if self.mean is not None:
+            x = x - np.array(self.mean)
+        if self.scale is not None:
+            x = x / np.maximum(np.array(self.scale), LEAST_SCALE)
+        return 1 / (1 + np.exp(-(x @ np.array(self.coef) + self.intercept)))
+
 
 def _array(values: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))

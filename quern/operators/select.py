@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.text import mandatory
-from quern.functions.tokens import TokenCounter
+from quern.functions.tokens import TokenCounter, loaded
 
 _INTS = "array<int>"
 
@@ -71,14 +71,21 @@ def _select_budget(sentences, n_tokens, scores, target, separator_tokens, contex
         return F.struct(F.when(fits, cost(acc, i)).otherwise(acc["used"]).alias("used"), acc["stop"].alias("stop"), F.when(fits, F.concat(acc["kept"], F.array(i))).otherwise(acc["kept"]).alias("kept"))
 
     def until(acc, i):
-        passed = acc["stop"] | F.array_contains(acc["kept"], i)
-        fits = ~passed & (cost(acc, i) <= target)
-        return F.struct(F.when(fits, cost(acc, i)).otherwise(acc["used"]).alias("used"), (acc["stop"] | (~passed & ~fits)).alias("stop"), F.when(fits, F.concat(acc["kept"], F.array(i))).otherwise(acc["kept"]).alias("kept"))
+        """How many of the ranking fit: numbers only, so that a long one costs no copies."""
+        cost = acc["used"] + F.element_at(n_tokens, i + 1) + F.when(acc["n"] + acc["before"] > 0, separator_tokens).otherwise(0)
+        fits = ~acc["stop"] & (cost <= target)
+        return F.struct(F.when(fits, cost).otherwise(acc["used"]).alias("used"), (~fits).alias("stop"), (acc["n"] + fits.cast("int")).alias("n"), acc["before"].alias("before"))
 
     def choose(order):
-        first = F.aggregate(mandatory_places(sentences, context_type), nothing, skip)
-        kept = F.aggregate(order, first, until, lambda acc: acc["kept"])
-        return let(kept, lambda k: F.when(F.size(k) > 0, F.array_sort(k)).otherwise(F.slice(order, 1, 1)))
+        must = F.aggregate(mandatory_places(sentences, context_type), nothing, skip)
+
+        def rest(first):
+            left = F.array_except(order, first["kept"])
+            start = F.struct(first["used"].alias("used"), F.lit(False).alias("stop"), F.lit(0).alias("n"), F.size(first["kept"]).alias("before"))
+            taken = lambda o: F.concat(first["kept"], F.slice(o, 1, F.aggregate(o, start, until, lambda acc: acc["n"])))
+            return let(left, taken)
+
+        return let(let(must, rest), lambda k: F.when(F.size(k) > 0, F.array_sort(k)).otherwise(F.slice(order, 1, 1)))
 
     return F.when(F.size(scores) == 0, F.array().cast(_INTS)).otherwise(let(ranked(scores), choose))
 
@@ -149,9 +156,7 @@ def _trim_in_python(counter):
     path = counter.path
 
     def run(sentences, n_tokens, kept, target, separator, sep_tokens, order):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        tok = loaded(path)
         out = []
         for s, n, k, t, sep, c, o in zip(sentences, n_tokens, kept, target, separator, sep_tokens, order, strict=True):
             if k is None:

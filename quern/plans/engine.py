@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,9 @@ class Compressor:
         if hasattr(self.provider, "attach"):
             df = self.provider.attach(df)
         kind, words = F.col("context_type"), self.config.min_word_length
-        if self.splitter is None:
+        if {"__sentences", "__counts"} <= have:
+            cut = F.col("__sentences")
+        elif self.splitter is None:
             cut = split_context(F.col("context"), kind, words)
         else:
             df = settled(df.withColumn("__split", self.splitter(F.col("context"), kind)))
@@ -70,13 +73,34 @@ class Compressor:
         else:  # Python counters can't stand inside lambdas
             df = settled(df.withColumn("__cut", cut))
             df = settled(df.withColumn("__attn", self.attention_counter.count_each(F.col("__cut"))).withColumn("__room", room))
-            df = df.withColumn("__chunks", chunk_sentences(F.col("__cut"), F.col("__attn"), F.col("__room"), kind, RegexTokenCounter(), words, self.config.disable_chunking))
+            df = settled(df.withColumn("__windows", self.attention_counter.windows(F.col("__cut"), F.col("__attn"), F.col("__room"))))
+            df = df.withColumn("__chunks", chunk_sentences(F.col("__cut"), F.col("__attn"), F.col("__room"), kind, self.attention_counter, words, self.config.disable_chunking, F.col("__windows")))
         df = df.withColumn("sentences", F.flatten("__chunks"))
         raw = self.provider.score(df, F.col("__chunks"))
         df = df.withColumn("__raw", raw)
-        df = (df if self.counter.native else settled(df)).withColumn("n_tokens", self.counter.count_each(F.col("sentences")))
+        if not getattr(self.provider, "native", True):
+            df = settled(df)
+        counted = self.counter.count_each(F.col("sentences"))
+        if "__counts" in have and self.counter.native:  # chunks may have cut sentences anew
+            counted = F.when(F.col("sentences") == F.col("__sentences"), F.col("__counts")).otherwise(counted)
+        df = (df if self.counter.native else settled(df)).withColumn("n_tokens", counted)
         df = df.withColumn("sentence_scores", F.zip_with("__raw", "sentences", lambda x, s: boosted(x, s, kind)))
-        return df.withColumn("separator", output_separator(kind, F.col("sentences"))).drop("__split", "__chunks", "__cut", "__attn", "__room", "__raw", "__features")
+        return df.withColumn("separator", output_separator(kind, F.col("sentences"))).drop("__split", "__chunks", "__cut", "__attn", "__room", "__windows", "__raw", "__features", "__sentences", "__counts")
+
+    def prepared(self, samples: DataFrame) -> DataFrame:
+        """``samples`` with their sentences and token counts, made once for each context and type, however
+        many questions are asked of it. ``scored`` and ``compress_df`` then take them as they are."""
+        key = F.sha2(F.to_json(F.struct("context", "context_type")), 256)
+        keyed = samples.withColumn("__doc", key)
+        once = keyed.select("__doc", "context", "context_type").dropDuplicates(["__doc"])
+        kind, words = F.col("context_type"), self.config.min_word_length
+        if self.splitter is None:
+            once = once.withColumn("__sentences", split_context(F.coalesce("context", F.lit("")), kind, words))
+        else:
+            once = settled(once.withColumn("__split", self.splitter(F.col("context"), kind)))
+            once = once.withColumn("__sentences", F.filter(sync_sentences(F.col("__split"), F.col("context")), lambda s: has_words(s, words)))
+        once = (once if self.counter.native else settled(once)).withColumn("__counts", self.counter.count_each(F.col("__sentences")))
+        return keyed.join(once.select("__doc", "__sentences", "__counts"), "__doc").drop("__doc")
 
     def compress_df(self, samples: DataFrame, options: CompressOptions | None = None) -> DataFrame:
         """``samples`` with the result columns. Columns ``target_token``, ``compression_rate`` and
@@ -108,7 +132,7 @@ class Compressor:
         df = step(df.withColumn("compression_ratio", ratio.cast("double")))
         df = step(df.withColumn("compressed_text", join_kept(sentences, F.col("preserved_indices"), sep)))
         df = df.withColumn("compressed_length", self.counter.count(F.col("compressed_text"))).withColumn("status", F.when(F.size(sentences) == 0, "empty").otherwise("ok"))
-        keep = [c for c in samples.columns if c not in (*RESULT_COLUMNS, "n_tokens", "separator")]
+        keep = [c for c in samples.columns if c not in (*RESULT_COLUMNS, "n_tokens", "separator", "__sentences", "__counts")]
         return df.select(*keep, *RESULT_COLUMNS)
 
     def compress(self, spark: SparkSession, context: str, question: str = "", context_type: str = "english", **options) -> dict:
@@ -140,6 +164,15 @@ class Compressor:
         rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "sent_idx"))
         return df.select("sample_id", rank.alias("rank"), "sent_idx", "score", self.counter.count(F.col("text")).alias("n_tokens"), shown.alias("sentence"))
 
+    def print_report(self, samples: DataFrame, options: CompressOptions | None = None, write=print) -> None:
+        """The report of each sample on the console, one sample after the other."""
+        rows = self.report(samples, options).orderBy("sample_id", "rank")
+        for sample, mine in groupby(rows.toLocalIterator(), key=lambda r: r["sample_id"]):
+            kept = [*mine]
+            write(f"Sample {sample}: {len(kept)} sentences kept, {sum(r['n_tokens'] for r in kept)} tokens")
+            for r in kept:
+                write(f"  {r['rank']:2d}. [Index: {r['sent_idx']:2d}] [Score: {r['score']:.3f}] [Tokens: {r['n_tokens']:3d}] {r['sentence']}")
+
     def info(self) -> dict:
         """Settings, provider and counters."""
         return asdict(self.config) | {"provider": type(self.provider).__name__, "attention_counter": repr(self.attention_counter), "budget_counter": repr(self.budget_counter)}
@@ -157,22 +190,23 @@ class Compressor:
 
 
 def length_buckets(samples: DataFrame, batch_size: int) -> DataFrame:
-    """``samples`` with ``bucket``: consecutive batches in the order of their length. Samples are put in
-    order by a global sort, and numbered within its partitions from the partitions' sizes."""
+    """``samples`` with ``bucket``: consecutive batches in the order of their length, ties by id. Lengths and ids alone
+    are put in order by ranges; a sample's place is its place in its range and the sizes of the ranges before."""
     length = (F.length(F.coalesce("context", F.lit(""))) + F.length(F.coalesce("question", F.lit("")))).alias("n_chars")
-    light = samples.select("sample_id", length)
-    counts = light.groupBy("n_chars").agg(F.count("*").alias("n"))
-    # one row for each length that occurs
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("n_chars")) - F.col("n")).select("n_chars", "before")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("n_chars").orderBy("sample_id")) - 1
-    placed = light.join(before, "n_chars").withColumn("place", place)
-    return samples.join(placed.select("sample_id", "place"), "sample_id").withColumn("bucket", F.floor(F.col("place") / batch_size)).drop("place")
+    laid = samples.select("sample_id", length).repartitionByRange("n_chars", "sample_id").sortWithinPartitions("n_chars", "sample_id")
+    numbered = laid.select("sample_id", F.monotonically_increasing_id().alias("m"))  # the range above 33 bits of the place
+    numbered = numbered.select("sample_id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))  # one row for each range
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    placed = numbered.join(F.broadcast(before), "part").select("sample_id", F.floor((F.col("before") + F.col("at")) / batch_size).alias("bucket"))
+    return samples.join(placed, "sample_id")
 
 
 def compress_distinct(compressor: Compressor, samples: DataFrame, options: CompressOptions | None = None) -> DataFrame:
-    """``compress_df`` that works once on samples alike in context, question and type."""
+    """``compress_df`` that works once on samples alike in context, question and type, and splits and
+    counts once for those alike in context and type."""
     key = F.sha2(F.to_json(F.struct("context", "question", "context_type")), 256)
     keyed = samples.withColumn("__key", key)
     once = keyed.dropDuplicates(["__key"]).select("__key", "context", "question", "context_type")
-    done = compressor.compress_df(once, options).select("__key", *RESULT_COLUMNS)
+    done = compressor.compress_df(compressor.prepared(once), options).select("__key", *RESULT_COLUMNS)
     return keyed.join(done, "__key").drop("__key")

@@ -14,7 +14,7 @@ from quern.operators import align, chunk, probe, select
 from quern.operators.detector import Detector
 from quern.plans.engine import Compressor, compress_distinct, length_buckets
 from quern.plans.options import CompressOptions
-from quern.plans.providers import FunctionProvider, LexicalProvider, attention_probe
+from quern.plans.providers import AttentionProvider, FunctionProvider, LexicalProvider, attention_probe, hashed_layers
 from quern.sources.samples import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,8 +170,8 @@ def _marked(spark, sf_dir):
 
 
 @query(f"""WITH {_D}, {_KINDS}, {_MARKED}, f AS (SELECT *, list_bool_or(list_transform(sentences, lambda t: contains(t, '新闻内容：'))) AS news FROM s)
-    SELECT sample_id, context_type, CASE WHEN context_type IN ('code', 'fewshot') OR (context_type = 'chinese' AND news) THEN array_to_string(sentences[1:3], chr(10) || chr(10)) ELSE array_to_string(sentences[1:3], ' ') END AS out_join,
-    CASE WHEN context_type IN ('code', 'fewshot') OR (context_type = 'chinese' AND news) THEN array_to_string(sentences[1:3], chr(10) || chr(10)) WHEN context_type = 'chinese' THEN array_to_string(sentences[1:3], '') ELSE array_to_string(sentences[1:3], ' ') END AS chunk_join,
+    SELECT sample_id, context_type, CASE WHEN context_type IN ('code', 'fewshot') OR (context_type = 'chinese' AND news) THEN array_to_string(sentences, chr(10) || chr(10)) ELSE array_to_string(sentences, ' ') END AS out_join,
+    CASE WHEN context_type IN ('code', 'fewshot') OR (context_type = 'chinese' AND news) THEN array_to_string(sentences, chr(10) || chr(10)) WHEN context_type = 'chinese' THEN array_to_string(sentences, '') ELSE array_to_string(sentences, ' ') END AS chunk_join,
     context_type = 'chinese' OR regexp_matches(array_to_string(sentences[1:3], ''), '[一-鿿]') AS has_chinese FROM f""")
 def join_separators(spark, sf_dir):
     s, k = F.col("sentences"), F.col("context_type")
@@ -231,7 +231,14 @@ def _aligned(spark, sf_dir):
 
 @query(f"WITH {_D}, {_SX}, {_SPAN}, {_TOK}, {_ALIGN} SELECT * FROM a WHERE n_tokens > 0")
 def align_tokens_to_sentences(spark, sf_dir):
-    return align.drop_empty(_aligned(spark, sf_dir)).select("sample_id", "sent_idx", "tok_start", "tok_end", "n_tokens")
+    c = F.col("context")
+    return align.drop_empty(align.aligned(documents(spark, sf_dir), c, T.split_english(c)))
+
+
+@query(f"WITH {_D}, {_SX}, {_SPAN}, {_TOK}, {_ALIGN} SELECT sample_id, sent_idx, coalesce(tok_start, -1) AS tok_start, coalesce(tok_end, -1) AS tok_end, n_tokens FROM a")
+def token_spans(spark, sf_dir):
+    """The same by the join of long tables."""
+    return _aligned(spark, sf_dir).select("sample_id", "sent_idx", F.coalesce("tok_start", F.lit(-1)).alias("tok_start"), F.coalesce("tok_end", F.lit(-1)).alias("tok_end"), F.col("n_tokens").cast("int").alias("n_tokens"))
 
 
 @query(f"WITH {_D}, {_TOK} SELECT d.sample_id, coalesce(min(tok_idx), -1) AS context_start, coalesce(max(tok_idx), -1) AS context_end FROM d LEFT JOIN t ON d.sample_id = t.sample_id AND t.char_end > 33 AND t.char_start < 33 + length(context) // 2 GROUP BY 1")
@@ -345,9 +352,10 @@ def detector_score_scaled(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.round(d.score(F.col("embedding")), 9).alias("score"))
 
 
-@query(f"SELECT vec_id, round(1 / (1 + exp(-({_DOT.format('embedding', '[' + ', '.join(f'{c}::DOUBLE' for c in _COEF[:16] * 4) + ']')}))), 9) AS score FROM embeddings WHERE embedding IS NOT NULL")
+@query(f"SELECT vec_id, round(1 / (1 + exp(-({_DOT.format('list_concat(list_concat(embedding[1:16], embedding[1:16]), list_concat(embedding[1:16], embedding[1:16]))', _LIST)}))), 9) AS score FROM embeddings WHERE embedding IS NOT NULL")
 def detector_tile(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.round(Detector(_COEF[:16]).sized(64).score(F.col("embedding")), 9).alias("score"))
+    """Features of one layer of 16 heads, repeated for the four layers of the coefficients."""
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.round(Detector(_COEF).score(F.slice("embedding", 1, 16)), 9).alias("score"))
 
 
 # ---- budgets, selection, trimming ----
@@ -389,7 +397,7 @@ def select_budget(spark, sf_dir):
 
 
 _FOLD = f"""WITH RECURSIVE {_D}, d2 AS (SELECT sample_id, '类别：' || replace(context, ' the ', ' 类别：the ') AS context FROM d),
-    s AS (SELECT sample_id, {_ENGLISH.format('context')} AS sentences FROM d2 WHERE length(context) < 3000), {_X},
+    s AS (SELECT sample_id, {_ENGLISH.format('context')} AS sentences FROM d2), {_X},
     y AS (SELECT *, {_TOKENS.format('text')}::INT AS n, {_SCORE} AS score, contains(text, '类别：') AS must FROM x),
     o AS (SELECT sample_id, list({{'i': sent_idx, 'n': n, 'm': must}} ORDER BY NOT must, CASE WHEN must THEN sent_idx ELSE 0 END, score DESC, sent_idx) FILTER (WHERE must) AS first,
           list({{'i': sent_idx, 'n': n, 'm': false}} ORDER BY score DESC, sent_idx) AS second, (sum(n) // 3)::INT AS target FROM y GROUP BY 1),
@@ -530,7 +538,7 @@ def dedup_prep(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(DISTINCT coalesce(text, '')) AS n_distinct, count(DISTINCT coalesce(text, '')) = 1 AS all_equal FROM documents")
 def distinct_samples(spark, sf_dir):
-    n = F.count_distinct(F.xxhash64("context"), F.length("context"))
+    n = F.count_distinct("context")
     return documents(spark, sf_dir).agg(F.count("*").alias("n"), n.alias("n_distinct"), (n == 1).alias("all_equal"))
 
 
@@ -567,18 +575,51 @@ def provider_function(spark, sf_dir):
     return c.compress_df(d, CompressOptions(compression_rate=0.5)).select("sample_id", "compressed_text", "compressed_length", "preserved_indices")
 
 
-@query()
+@query(f"""WITH {_D}, {_LEX} SELECT v.sample_id, v.sent_idx, v.text AS sentence, round(v.score, 9) AS score, run <= target OR rn = 1 AS kept FROM v""")
 def udtf_compress(spark, sf_dir):
     from quern.plans.sql import register
 
     register(spark)
     documents(spark, sf_dir).createOrReplaceTempView("quern_documents")
-    return spark.sql(f"SELECT d.sample_id, c.* FROM quern_documents d, LATERAL quern_compress(d.context, '{QUESTION}', 0.8D, 'english') c")
+    return spark.sql(f"SELECT d.sample_id, c.sent_idx, c.sentence, round(c.score, 9) AS score, c.kept FROM quern_documents d, LATERAL quern_compress(d.context, '{QUESTION}', 0.8D, 'english') c")
 
 
-@query()
+@query(f"""WITH {_D}, {_LEX} SELECT sample_id, sent_idx, round(len(list_intersect(w, terms)) / greatest(len(terms), 1)::DOUBLE, 9) AS overlap, round(1.0::DOUBLE / (sent_idx + 1), 9) AS place,
+    round(least(len(w) / 30.0::DOUBLE, 1.0::DOUBLE), 9) AS length, round(len(list_distinct(w)) / greatest(len(w)::DOUBLE, 1.0::DOUBLE), 9) AS variety FROM y""")
 def lexical_features(spark, sf_dir):
     p = LexicalProvider()
     d = align.sentence_rows(documents(spark, sf_dir), english())
     terms = F.array(*(F.lit(w) for w in dict.fromkeys(QUESTION.split())))
-    return d.select("sample_id", "sent_idx", p.features(F.col("text"), F.col("sent_idx"), terms).alias("features"))
+    x = d.select("sample_id", "sent_idx", p.features(F.col("text"), F.col("sent_idx"), terms).alias("x"))
+    return x.select("sample_id", "sent_idx", *(F.round(F.col("x")[i], 9).alias(name) for i, name in enumerate(("overlap", "place", "length", "variety"))))
+
+
+# ---- from the prompt to scores: a model of two layers, the first 1,000 tokens of each prompt ----
+
+_ATTENTION = Detector((1.5, -2.0, 0.5, 3.0), -0.2, (0.01, 0.0, 0.02, 0.01), (0.05, 0.1, 0.05, 0.2))
+_WEIGHED = " + ".join(f"((coalesce(f{i}, 0) - {m}::DOUBLE) / {s}::DOUBLE) * {c}::DOUBLE" for i, (c, m, s) in enumerate(zip(_ATTENTION.coef, _ATTENTION.mean, _ATTENTION.scale, strict=True)))
+
+
+@query(rf"""WITH {_D}, pr AS (SELECT sample_id, 'Given the following information: ' || context || chr(10) || 'Answer the following question based on the given information with one or few words: {QUESTION}' || chr(10) || 'Answer:' AS context, length(context) AS n_context FROM d),
+    pg AS (SELECT sample_id, n_context, regexp_extract_all(context, '(?s)([\s]*)(\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}])', 1) AS gaps, regexp_extract_all(context, '(?s)([\s]*)(\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}])', 2) AS toks FROM pr),
+    pu AS (SELECT sample_id, n_context, unnest(range(len(toks)))::INT AS tok_idx, unnest(toks) AS token, unnest(gaps) AS gap FROM pg),
+    pt AS (SELECT sample_id, n_context, tok_idx, token, e - length(token) AS t0, e AS t1 FROM (SELECT *, sum(length(gap) + length(token)) OVER (PARTITION BY sample_id ORDER BY tok_idx) AS e FROM pu) WHERE tok_idx < 1000),
+    pq AS (SELECT sample_id, count(*) AS n, length(arg_max(token, tok_idx)) AS size, unicode(arg_max(token, tok_idx)) AS first FROM pt GROUP BY 1),
+    pw AS (SELECT pt.sample_id, tok_idx, t0, t1, n_context, l, h, 0.7::DOUBLE * list_sum(list_transform([0, 1, 2], lambda i: (((size + first * (h + 2) + i * (l + 3) + n) % 9 - 4) / 4.0::DOUBLE) * (((length(token) * (i + 1) + unicode(token) * (l + 1)) % 11 - 5) / 5.0::DOUBLE))) AS raw
+           FROM pt JOIN pq USING (sample_id), range(2) a(l), range(2) b(h)),
+    pe AS (SELECT *, exp(raw - max(raw) OVER v) AS ex FROM pw WINDOW v AS (PARTITION BY sample_id, l, h)),
+    pp AS (SELECT *, ex / sum(ex) OVER (PARTITION BY sample_id, l, h) AS p FROM pe),
+    px AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY sample_id, l, h), 1e-8::DOUBLE) AS ratio FROM pp WHERE t1 > 33 AND t0 < 33 + n_context),
+    -- sentences lie end to end but for dropped ones, so their places come from the whole split
+    sp AS (SELECT sample_id, i, text, coalesce(sum(length(text)) OVER (PARTITION BY sample_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(length(text)) OVER (PARTITION BY sample_id ORDER BY i) AS e
+           FROM (SELECT sample_id, unnest(range(len(z))) AS i, unnest(z) AS text FROM (SELECT sample_id, {_ENGLISH.format('context')} AS z FROM d))),
+    sk AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY i) - 1 AS sent_idx, 33 + a AS c0, 33 + e AS c1 FROM sp WHERE {_WORDS.format('text')} >= 1),
+    sf AS (SELECT sk.sample_id, sent_idx, l * 2 + h AS f, avg(ratio) AS value FROM sk JOIN px ON sk.sample_id = px.sample_id AND px.t1 > c0 AND px.t0 < c1 GROUP BY ALL),
+    sv AS (SELECT sample_id, sent_idx, max(value) FILTER (WHERE f = 0) AS f0, max(value) FILTER (WHERE f = 1) AS f1, max(value) FILTER (WHERE f = 2) AS f2, max(value) FILTER (WHERE f = 3) AS f3 FROM sf GROUP BY 1, 2)
+    SELECT sk.sample_id, sk.sent_idx::INT AS sent_idx, round(1 / (1 + exp(-({_WEIGHED} + {_ATTENTION.intercept}::DOUBLE))), 7) AS score FROM sk LEFT JOIN sv ON sk.sample_id = sv.sample_id AND sk.sent_idx = sv.sent_idx""")
+def attention_scores(spark, sf_dir):
+    """Prompt, tokens with places, alignment, attention of two layers, pooling and detector, through the engine."""
+    d = documents(spark, sf_dir).withColumn("question", F.lit(QUESTION))
+    provider = AttentionProvider(hashed_layers, _ATTENTION, max_seq_len=1_000)
+    scored = Compressor(provider=provider).scored(d)
+    return scored.select("sample_id", F.posexplode("sentence_scores").alias("sent_idx", "score")).withColumn("score", F.round("score", 7))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from quern.operators import align, chunk, probe, select
 from quern.operators.detector import Detector, train
+from quern.functions.text import split_english
 from quern.functions.tokens import CharTokenCounter, HFTokenCounter, RegexTokenCounter
 from quern.plans import rowwise
 from quern.plans.engine import Compressor, compress_distinct, length_buckets
 from quern.plans.options import CompressOptions, EngineConfig
-from quern.plans.providers import FunctionProvider, TableProvider, attention_probe, probability
+from quern.plans.providers import AttentionProvider, FunctionProvider, TableProvider, attention_probe, hashed_layers
 from quern.sources.samples import conform, from_dicts, in_order, read_samples, write_results
 from quern.streaming.compress import for_each_batch, to_files
 
@@ -140,6 +141,96 @@ def test_dense_probe_is_the_sql_probe(spark):
         assert np.allclose([got[i] for i in range(3)], want, atol=1e-9)
 
 
+def test_attention_provider_is_the_probe_tables(spark):
+    """Prompt, alignment, two layers and pooling on the row against the joins of long tables."""
+    question, d = "was the dam safe", Detector((1.0, -0.5, 2.0, 0.7), 0.1)
+    c = Compressor(provider=AttentionProvider(hashed_layers, d))
+    got = c.scored(from_dicts(spark, [{"context": ARTICLE, "question": question}])).first()
+    prompt = f"Given the following information: {ARTICLE}\nAnswer the following question based on the given information with one or few words: {question}\nAnswer:"
+    text = spark.createDataFrame([(0, prompt, got.sentences)], "sample_id long, t string, s array<string>")
+    tokens = align.token_rows(text, F.col("t"))
+    spans = align.token_spans(tokens, align.char_spans(align.sentence_rows(text, F.col("s")), 33))
+    window = align.context_span(tokens, spark.createDataFrame([(0, 33, 33 + len(ARTICLE))], "sample_id long, c0 int, c1 int")).first()
+    layers = hashed_layers([r.token for r in tokens.orderBy("tok_idx").collect()])
+    keys = spark.createDataFrame([(0, i, 0, t, k[0, t].tolist()) for i, (_, k, _) in enumerate(layers) for t in range(k.shape[1])], "sample_id long, layer int, head int, tok_idx int, k array<double>")
+    queries = spark.createDataFrame([(0, i, h, q[h].tolist()) for i, (q, _, _) in enumerate(layers) for h in range(2)], "sample_id long, layer int, head int, q array<double>")
+    met = probe.raw_scores(probe.expand_heads(keys, queries, 2), layers[0][2])
+    ratios = probe.renormalise(probe.softmax(met), F.col("tok_idx").between(window.context_start, window.context_end))
+    want = [r.p for r in probe.features(probe.sentence_mean(ratios, spans)).withColumn("p", d.score(F.col("features"))).orderBy("sent_idx").collect()]
+    assert len(want) == len(got.sentences) == 6 and np.allclose(got.sentence_scores, want, atol=1e-9)
+
+
+def test_attention_of_truncated_and_empty_contexts(spark):
+    d = Detector((1.0, -0.5, 2.0, 0.7), 0.1)
+    cut = Compressor(provider=AttentionProvider(hashed_layers, d, max_seq_len=12)).scored(from_dicts(spark, [{"context": ARTICLE, "question": "x"}, {"context": ""}])).orderBy("sample_id").collect()
+    nothing = 1 / (1 + np.exp(-0.1))
+    assert not np.isclose(cut[0].sentence_scores[0], nothing) and np.allclose(cut[0].sentence_scores[2:], nothing) and cut[1].sentence_scores == []
+    chunked = Compressor(EngineConfig(max_seq_len=45), provider=AttentionProvider(hashed_layers, d)).scored(from_dicts(spark, [{"context": ARTICLE, "question": "x"}])).first()
+    assert len(chunked.sentence_scores) == len(chunked.sentences) >= 6
+    short = AttentionProvider(hashed_layers, d, max_seq_len=2)
+    assert short.features("abc. def.", ["abc. ", "def."], "x", RegexTokenCounter().encoder()).tolist() == [[0.0] * 4] * 2
+
+
+def test_align_on_the_row_is_the_join(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("t")).limit(60)
+    sentences = split_english(F.col("t"))
+    columns = ["sample_id", "sent_idx", "tok_start", "tok_end", "n_tokens"]
+    want = align.token_spans(align.token_rows(d, F.col("t")), align.char_spans(align.sentence_rows(d, sentences))).select(columns)
+    assert sorted(map(str, align.aligned(d, F.col("t"), sentences).collect())) == sorted(map(str, want.collect()))
+
+
+def test_windows_of_the_attention_tokenizer(spark):
+    """Pieces of an oversized sentence are measured by the counter that the pass is measured by."""
+    import public_tokenizers
+
+    counter = HFTokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    c = Compressor(EngineConfig(max_seq_len=60), attention_counter=counter, budget_counter=counter)
+    long = " ".join(f"unpronounceable{i}" for i in range(80)) + "."
+    df = c.scored(from_dicts(spark, [{"context": f"Short one. {long} End.", "question": "x"}]))
+    got = df.select("sentences", "n_tokens").first()
+    room = 60 - 10 - len(counter.encoder()("Given the following information: \nAnswer the following question based on the given information with one or few words: x\nAnswer:")[0])
+    assert len(got.sentences) > 4 and max(got.n_tokens) <= max(room, 1) + 1
+    assert "".join("".join(got.sentences).split()) == "".join(f"Short one. {long} End.".split())
+
+
+def test_prep_is_shared_by_questions(spark):
+    rows = [{"context": ARTICLE, "question": q} for q in ("was the dam safe", "where did farmers move", "was the dam safe")] + [{"context": NEWS, "context_type": "chinese"}, {"context": ""}]
+    samples = from_dicts(spark, rows)
+    c, o = Compressor(EngineConfig(max_seq_len=60)), CompressOptions(compression_rate=0.6)
+    show = lambda df: sorted(map(str, df.select("sample_id", "compressed_text", "original_length", "compressed_length", "preserved_indices", "status").collect()))
+    assert show(c.compress_df(c.prepared(samples), o)) == show(c.compress_df(samples, o)) == show(compress_distinct(c, samples, o))
+    assert c.compress_df(c.prepared(samples), o).columns == c.compress_df(samples, o).columns
+
+
+def test_table_provider_counts_sentences(spark):
+    samples = from_dicts(spark, [{"context": ARTICLE}])
+    table = spark.createDataFrame([(0, [[0.1, 0.2, 0.3, 0.4]] * 2)], "sample_id long, features array<array<double>>")
+    with pytest.raises(Exception, match="features of 2 sentences for 6"):
+        Compressor(provider=TableProvider(table)).compress_df(samples).collect()
+
+
+def test_console_report(spark):
+    lines = []
+    Compressor().print_report(from_dicts(spark, SAMPLES[:2]), CompressOptions(compression_rate=0.6), lines.append)
+    assert sum(x.startswith("Sample ") for x in lines) == 2 and lines[1].startswith("   1. [Index: ")
+
+
+def test_selection_of_many_sentences(spark):
+    """A ranking of thousands is folded without copies."""
+    draw = np.random.default_rng(2)
+    n = 4_000
+    tokens, scores = draw.integers(1, 9, n).tolist(), draw.random(n).round(3).tolist()
+    df = spark.createDataFrame([(["x"] * n, tokens, scores, sum(tokens) // 2)], "s array<string>, n array<int>, x array<double>, t int")
+    got = df.select(select.select_budget(F.col("s"), F.col("n"), F.col("x"), F.col("t"), F.lit(1), F.lit("english")).alias("k")).first().k
+    used, want = 0, []
+    for i in sorted(range(n), key=lambda i: -scores[i]):
+        cost = tokens[i] + (1 if want else 0)
+        if used + cost > sum(tokens) // 2:
+            break
+        used, want = used + cost, [*want, i]
+    assert got == sorted(want)
+
+
 def test_spans_with_lost_separators(spark):
     d = spark.createDataFrame([(1, "ab\n\ncd\n\nef", ["ab", "cd", "zz", "ef"])], "sample_id int, t string, s array<string>")
     got = [(r.char_start, r.char_end) for r in align.true_spans(d, F.col("t"), F.col("s")).orderBy("sent_idx").collect()]
@@ -152,10 +243,17 @@ def test_detectors(spark, tmp_path):
     d = Detector((1.0, -1.0), 0.5, (0.1, 0.2), (2.0, 0.0))
     x = np.array([[0.3, 0.2], [1.0, 0.2]])
     got = [r.p for r in spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(d.score(F.col("x")).alias("p")).collect()]
-    assert np.allclose(got, probability(d, x))
-    assert d.sized(4).coef == (1.0, -1.0, 1.0, -1.0)
-    with pytest.raises(ValueError):
-        d.sized(3)
+    assert np.allclose(got, d.probability(x))
+    # one layer's features stand for each layer; another number is an error
+    two = Detector((1.0, -1.0, 3.0, 0.5), -0.5)
+    got = [r.p for r in spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(two.score(F.col("x")).alias("p")).collect()]
+    assert np.allclose(got, two.probability(np.tile(x, 2))) and np.allclose(got, two.probability(x))
+    for n in (0, 3, 8):
+        with pytest.raises(Exception, match="features, but the detector has 4"):
+            spark.createDataFrame([([0.5] * n,)], "x array<double>").select(two.score(F.col("x"))).collect()
+        with pytest.raises(ValueError):
+            two.probability(np.zeros((1, n)))
+    assert spark.createDataFrame([(None,)], "x array<double>").select(two.score(F.col("x"))).first()[0] is None
     with pytest.raises(ValueError):
         Detector((1.0,), mean=(1.0, 2.0))
     with pytest.raises(ValueError):
