@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, html_text, pii, quality, secrets
-from quern.llm.queries import op5_secrets, vocabulary
+from quern.llm.queries import op5_secrets, op8_quality, op10_pii, vocabulary
 
 from .conftest import ROWS, prose
 
@@ -178,6 +179,24 @@ def test_personal_base(spark, docs):
         assert sorted(str([(s.kind, s.start, s.end) for s in r.base]) for r in got) == sorted(str(personal(t or "")) for t in texts)
 
 
+def test_registered_personal_data(spark, data):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in op10_pii(spark, data).collect():
+        found = personal(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in found) for kind in pii.KINDS[:-1]]
+        assert [x for x in r.spans.split(",") if x and not x.startswith("term:")] == [x for x in line.split(",") if x]
+
+
+def test_personal_data_of_nothing_and_ties(spark, no_docs):
+    assert pii.find(no_docs).count() == 0 and pii.sanitise(pii.find(no_docs)).count() == 0
+    rows = [f"Zanzivar Bremuda jo@mail.org {prose(i, 9)}" for i in range(4)] + [prose(100 + i, 12) for i in range(40)]
+    found = pii.find(spark.createDataFrame([(i % 3, t, "x", "y") for i, t in enumerate(rows)], "doc_id int, text string, t string, spans string"))
+    marked = [{r.t[s.start : s.end] for s in r.spans if s.kind == "term"} for r in found.collect() if "jo@mail" in r.t]
+    assert marked == [{"Zanzivar", "Bremuda"}] * 4  # both disclose alike, and both are marked
+
+
 def test_disclosing_terms(spark):
     filler = [prose(i, 30) for i in range(60)]
     rows = [f"{filler[i]} write to Zanzivar at jo@mail.org today please {prose(400 + i, 9)}" for i in range(6)] + [f"{t} please today" for t in filler] + [f"lone zanzivar. {filler[0]}"] * 0
@@ -282,6 +301,39 @@ def test_texts_do_not_depend_on_partitions(spark):
         assert texts_of(spark, rows, n) == want
 
 
+def test_very_long_page(spark):
+    """More lines than a table of the alignment holds at once, and an article of a megabyte."""
+    (a, own_a), (b, own_b) = site(1, 3000, 400), site(2, 3000, 300)
+    words = prose(9, 120_000)
+    got = texts_of(spark, [(1, "http://a.org/1", a), (2, "http://a.org/2", b), (3, "http://a.org/3", f"<nav>no</nav><article>{words}</article>")])
+    assert got == {1: own_a, 2: own_b, 3: words}
+
+
+def test_differencing_of_a_whole_table(spark):
+    """Each page of hosts of many sizes against the definition: its lines without a longest common subsequence with the
+    neighbour whose path shares the longest prefix, the one before it if both do."""
+    rows, own = [], {}
+    for host in range(6):
+        for k in range(1, 2 + 3 * host):
+            n = len(rows)
+            html, own[n] = site(100 * host + k, 4 + host, 1 + k % 4)
+            rows.append((n, f"http://h{host}.org/{'abc'[k % 3]}/{k}", html.replace("Menu", f"Menu {host}")))
+    got = texts_of(spark, rows, 3)
+    for n, url, html in rows:
+        mine = [t for t, _ in html_text.blocks(html)]
+        host, path = url[7:].split("/", 1)
+        others = sorted((u[7:].split("/", 1)[1], i) for i, u, _ in rows if u[7:].split("/", 1)[0] == host)
+        at = others.index((path, n))
+        near = others[max(at - 1, 0) : at] + others[at + 1 : at + 2]
+        if not near:
+            assert got[n] == " ".join(mine)
+            continue
+        common = lambda p: next((i for i, (x, y) in enumerate(zip(p, path)) if x != y), min(len(p), len(path)))  # noqa: B023, B905, E731
+        best = max(near, key=lambda x: common(x[0]))
+        theirs = [t for t, _ in html_text.blocks(rows[best[1]][2])]
+        assert got[n] == " ".join(t for t in mine if t not in theirs) == own[n]
+
+
 def test_lcs_of_long_lists(monkeypatch):
     draw = np.random.default_rng(3)
     a, b = ([*map(str, draw.integers(0, 700, 2500))] for _ in range(2))
@@ -331,6 +383,32 @@ def test_quality(spark, data):
     assert np.array_equal(got.sort_values("doc_id")["score"], again.sort_values("doc_id")["score"])
 
 
+def test_quality_held_out(spark):
+    """The fold that nothing is learnt from, alone, through the registered query."""
+    path = "/root/testdata/sf0.01"
+    got = op8_quality(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").toPandas()
+    assert (got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4) == 2).all() and len(got) >= 5
+    assert (got["predicted"] == got["quality"]).mean() >= 0.9
+
+
+def test_quality_learns_from_a_sample(spark, data):
+    """The hash threshold leaves the rows that a full sort would take, and no more."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(900)], "doc_id long, text string").cache()
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    usable = labels.where(~quality.is_held_out(F.col("doc_id")))
+    first = {r.doc_id for r in usable.orderBy(F.xxhash64("doc_id")).limit(60).collect()}
+    few = quality.fit(docs, labels, sample=60)
+    same = quality.fit(docs, labels.where(F.col("doc_id").isin([*first])), sample=10_000)
+    assert np.allclose(few.weights, same.weights) and few.cut == same.cut
+
+
+def test_quality_beside_any_names(spark):
+    model = quality.Model(np.ones(quality.N_FEATURES), np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), 0.0, 1.0)
+    df = spark.createDataFrame([(1, "a b", "c")], "doc_id long, text string, __text string")
+    got = quality.score(df, model, name="__text_")
+    assert got.columns == ["doc_id", "text", "__text", "__text_"] and got.first()["__text"] == "c"
+
+
 def test_quality_edges(docs, no_docs, spark):
     labels = spark.createDataFrame([(i, q, 0) for i, q in ((0, 1), (1, 0), (2, None), (None, 1), (30, 0), (40, 1))], "doc_id long, quality int, toxic int")
     for model in (quality.fit(docs, labels), quality.fit(no_docs, labels), quality.fit(docs, labels.limit(0))):
