@@ -300,6 +300,12 @@ def attn_last_row_softmax(spark, sf_dir):
     return probe.softmax(_raw(spark, sf_dir)).select("sample_id", "layer", "head", "tok_idx", F.round("p", 7).alias("p"))
 
 
+@query(f"WITH {_E}, mw AS (SELECT * REPLACE (CASE WHEN tok_idx % 7 = 3 THEN raw - 1e4::DOUBLE ELSE raw END AS raw) FROM w), mp AS (SELECT *, exp(raw - max(raw) OVER v) AS ex FROM mw WINDOW v AS (PARTITION BY sample_id, layer, head)) SELECT sample_id, layer, head, tok_idx, round(ex / sum(ex) OVER (PARTITION BY sample_id, layer, head), 7) AS p FROM mp")
+def attn_masked_softmax(spark, sf_dir):
+    """As above with tokens that the attention mask leaves out."""
+    return probe.softmax(_raw(spark, sf_dir), F.col("tok_idx") % 7 == 3).select("sample_id", "layer", "head", "tok_idx", F.round("p", 7).alias("p"))
+
+
 @query(f"WITH {_E} SELECT sample_id, layer, head, tok_idx, round(ratio, 7) AS ratio FROM n")
 def attn_context_renorm(spark, sf_dir):
     return probe.renormalise(probe.softmax(_raw(spark, sf_dir)), _context()).select("sample_id", "layer", "head", "tok_idx", F.round("ratio", 7).alias("ratio"))
