@@ -430,5 +430,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     else:
         rows = rows.withColumn("own", F.lit(True))
     rows = rows.select("id", "url", "html", "own", "range", *KEYS)
-    laid = rows.repartitionByRange(partitions, "range") if partitions else rows.repartitionByRange("range")
+    # a partition for each range: fewer would be as large as adaptive execution makes them
+    laid = rows.repartitionByRange(len(bounds) + 1, "range")
     return in_arrow(laid.sortWithinPartitions("range", *KEYS), compare, f"id {id_type}, url string, text string")
