@@ -13,8 +13,8 @@ from quern.functions.tokens import CJK_TOKENS, CharTokenCounter, RegexTokenCount
 from quern.operators import align, chunk, probe, select
 from quern.operators.detector import Detector
 from quern.plans.engine import Compressor, compress_distinct, length_buckets
-from quern.plans.options import CompressOptions
-from quern.plans.providers import AttentionProvider, FunctionProvider, LexicalProvider, attention_probe, hashed_layers
+from quern.plans.options import CompressOptions, EngineConfig
+from quern.plans.providers import AttentionProvider, FunctionProvider, LexicalProvider, hashed_layers
 from quern.sources.samples import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,10 +483,16 @@ def token_windows(spark, sf_dir):
 
 # ---- whole compressions ----
 
+def _lex_score(place: str) -> str:
+    """The lexical provider's score of a sentence with the words ``w`` for the question's words ``terms``."""
+    return f"""1 / (1 + exp(-((((0.0::DOUBLE + len(list_intersect(w, terms)) / greatest(len(terms), 1)::DOUBLE * 4.0::DOUBLE) + 1.0::DOUBLE / ({place} + 1) * 0.5::DOUBLE)
+      + least(len(w) / 30.0::DOUBLE, 1.0::DOUBLE) * 0.8::DOUBLE) + len(list_distinct(w)) / greatest(len(w)::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + -1.5::DOUBLE)))"""
+
+
 _LEX = rf"""{_S}, t AS (SELECT sample_id, list_distinct(regexp_extract_all(lower('{QUESTION}'), '\p{{L}}+|\p{{N}}+')) AS terms, sentences FROM s),
     x AS (SELECT sample_id, terms, unnest(range(len(sentences)))::INT AS sent_idx, unnest(sentences) AS text FROM t),
     y AS (SELECT *, regexp_extract_all(lower(text), '\p{{L}}+|\p{{N}}+') AS w, {_TOKENS.format('text')}::INT AS n FROM x),
-    z AS (SELECT *, 1 / (1 + exp(-((((0.0::DOUBLE + len(list_intersect(w, terms)) / greatest(len(terms), 1)::DOUBLE * 4.0::DOUBLE) + 1.0::DOUBLE / (sent_idx + 1) * 0.5::DOUBLE) + least(len(w) / 30.0::DOUBLE, 1.0::DOUBLE) * 0.8::DOUBLE) + len(list_distinct(w)) / greatest(len(w)::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + -1.5::DOUBLE))) AS score FROM y),
+    z AS (SELECT *, {_lex_score('sent_idx')} AS score FROM y),
     v AS (SELECT *, trunc((sum(n) OVER (PARTITION BY sample_id))::DOUBLE * (1 - 0.8::DOUBLE))::INT AS target, (sum(n) OVER (PARTITION BY sample_id))::INT AS total,
       row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 12) DESC, sent_idx) AS rn, sum(n) OVER (PARTITION BY sample_id ORDER BY round(score, 12) DESC, sent_idx) AS run FROM z),
     k AS (SELECT * FROM v WHERE run <= target OR rn = 1)"""
@@ -515,17 +521,41 @@ def compress_threshold(spark, sf_dir):
     return got.select("sample_id", kept.alias("kept_tokens"), F.round("compression_ratio", 9).alias("compression_ratio"), F.size("preserved_indices").cast("long").alias("n_kept"))
 
 
-@query()
+_PIECES = f"list_filter({_ENGLISH.format('piece')}, lambda s: {_WORDS.format('s')} >= 1)"
+_WINDOWS = r"""list_transform(range(0, len({0}), room), lambda i: array_to_string({0}[i + 1 : i + room], ''))""".format(r"regexp_extract_all(sentences[first + 1], '\p{L}+|\p{N}|[^\s\p{L}\p{N}]')")
+
+
+@query(f"""WITH RECURSIVE {_D}, {_S},
+    p AS (SELECT sample_id, turn, coalesce(c.text, '') AS question, sentences, list_transform(sentences, lambda t: {_TOKENS.format('t')}) AS n, greatest(400 - {_OVERHEAD.replace('text', 'c.text')} - 10, 1) AS room
+          FROM s JOIN conversations c ON s.sample_id = c.conv_id WHERE c.role = 'user'),
+    v AS (SELECT *, list_sum(n) > room AS cut FROM p WHERE len(sentences) > 0),
+    r AS (SELECT sample_id, turn, 0 AS i, 0::HUGEINT AS used, 0 AS opened, []::STRUCT(n BIGINT, piece BOOLEAN)[] AS out FROM v WHERE cut
+      UNION ALL SELECT sample_id, turn, i + 1, CASE WHEN pot <= room THEN pot WHEN t > room THEN 0 ELSE t END, CASE WHEN pot <= room THEN opened + 1 WHEN t > room THEN 0 ELSE 1 END,
+        CASE WHEN pot <= room THEN out ELSE list_concat(list_concat(out, CASE WHEN opened > 0 THEN [{{'n': opened::BIGINT, 'piece': false}}] ELSE [] END), CASE WHEN t > room THEN [{{'n': 1::BIGINT, 'piece': true}}] ELSE [] END) END
+      FROM (SELECT r.*, v.room, v.n[r.i + 1] AS t, v.n[r.i + 1] + CASE WHEN r.opened > 0 THEN r.used + 1 ELSE 0 END AS pot FROM r JOIN v ON r.sample_id = v.sample_id AND r.turn = v.turn WHERE r.i < len(v.n)) r),
+    e AS (SELECT v.sample_id, v.turn, sentences, room, list_concat(out, CASE WHEN opened > 0 THEN [{{'n': opened::BIGINT, 'piece': false}}] ELSE [] END) AS out FROM r JOIN v ON r.sample_id = v.sample_id AND r.turn = v.turn AND r.i = len(v.n)
+          UNION ALL SELECT sample_id, turn, sentences, room, [{{'n': len(sentences), 'piece': false}}] FROM v WHERE NOT cut),
+    u AS (SELECT * EXCLUDE (out), unnest(range(len(out))) AS chunk, unnest(out) AS c FROM e),
+    f AS (SELECT *, (sum(c.n) OVER (PARTITION BY sample_id, turn ORDER BY chunk) - c.n)::BIGINT AS first FROM u),
+    w AS (SELECT sample_id, turn, chunk, 0 AS part, sentences[first + 1 : first + c.n] AS ss FROM f WHERE NOT c.piece
+          UNION ALL SELECT sample_id, turn, chunk, part, {_PIECES} FROM (SELECT sample_id, turn, chunk, unnest({_WINDOWS}) AS piece, unnest(range(len({_WINDOWS}))) AS part FROM f WHERE c.piece)),
+    x AS (SELECT sample_id, turn, chunk, part, unnest(range(len(ss))) AS place, unnest(ss) AS text FROM w),
+    y AS (SELECT x.*, row_number() OVER (PARTITION BY x.sample_id, x.turn ORDER BY chunk, part, place) - 1 AS sent_idx, {_TOKENS.format('x.text')} AS n, regexp_extract_all(lower(x.text), '\\p{{L}}+|\\p{{N}}+') AS w,
+            list_distinct(regexp_extract_all(lower(question), '\\p{{L}}+|\\p{{N}}+')) AS terms FROM x JOIN p ON x.sample_id = p.sample_id AND x.turn = p.turn),
+    z AS (SELECT *, round({_lex_score('place')}, 12) AS score, sum(n) OVER (PARTITION BY sample_id, turn) AS total FROM y),
+    o AS (SELECT *, row_number() OVER o AS rn, sum(n) OVER o AS run FROM z WINDOW o AS (PARTITION BY sample_id, turn ORDER BY score DESC, sent_idx)),
+    g AS (SELECT sample_id, turn, any_value(total) AS total, sum(n) AS kept, string_agg(text, ' ' ORDER BY sent_idx) AS text, string_agg(sent_idx::VARCHAR, ',' ORDER BY sent_idx) AS places FROM o WHERE run <= least(80, total) OR rn = 1 GROUP BY 1, 2)
+    SELECT p.sample_id, p.turn, coalesce(g.text, '') AS compressed_text, coalesce(total, 0)::INT AS original_length, coalesce(kept, 0)::INT AS compressed_length,
+      CASE WHEN total > 0 THEN round(1 - least(80, total) / total::DOUBLE, 9) ELSE 0 END AS compression_ratio, coalesce(places, '') AS preserved_indices
+    FROM p LEFT JOIN g ON p.sample_id = g.sample_id AND p.turn = g.turn""")
 def compress_batch_multi_question(spark, sf_dir):
     """Every document with the user turns of the conversation of the same number as questions, by target,
     with chunks where the context is longer than a pass."""
-    from quern.plans.options import EngineConfig
-
     c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     d = documents(spark, sf_dir)
     pairs = d.join(c, d.sample_id == c.conv_id).drop("conv_id")
     out = Compressor(EngineConfig(max_seq_len=400)).compress_df(pairs, CompressOptions(target_token=80))
-    return out.select("sample_id", "turn", "compressed_text", "original_length", "compressed_length", F.round("compression_ratio", 9).alias("compression_ratio"), "preserved_indices")
+    return out.select("sample_id", "turn", "compressed_text", "original_length", "compressed_length", F.round("compression_ratio", 9).alias("compression_ratio"), _csv(F.col("preserved_indices")).alias("preserved_indices"))
 
 
 # ---- batches, duplicates, sets ----
@@ -559,26 +589,28 @@ def kept_sets(spark, sf_dir):
     return d.select("sample_id", F.size(F.array_union(above, must)).alias("n_union"), F.size(F.array_except(above, must)).alias("n_removable"))
 
 
-# ---- rows only: Python providers, SQL function, stream helper ----
+# ---- Python providers, SQL function, stream helper ----
 
 
-def tiny_attention(sentences: list[str], question: str):
-    """Features of a small fixed random projection as attention model: byte histograms are keys, the
-    question's is the query. Shows how a model is plugged in; it has learnt nothing."""
+def letter_features(sentences: list[str], question: str):
+    """A small fixed function in a model's place: the length, the place, the share of one letter and the letters
+    shared with the question. Shows how a model is plugged in; it has learnt nothing."""
     import numpy as np
 
-    draw = np.random.default_rng(1)
-    wq, wk = draw.standard_normal((4, 256, 8)), draw.standard_normal((2, 256, 8))
-    seen = lambda s: np.bincount(np.frombuffer((s or " ").encode(), np.uint8), minlength=256) / max(len(s.encode()), 1)
-    x = np.stack([seen(s) for s in sentences] or [np.zeros(256)])
-    return attention_probe(np.einsum("d,hde->he", seen(question), wq), np.einsum("td,hde->hte", x, wk), [(i, i) for i in range(len(sentences))], (0, len(x) - 1), 1.0)
+    asked = set(question)
+    return np.array([(len(s) % 11 / 11, min(i, 9) / 10, s.count("e") / len(s), len(set(s) & asked) / 26) for i, s in enumerate(sentences)]).reshape(-1, 4)
 
 
-@query()
+@query(f"""WITH {_D}, {_S}, {_X}, y AS (SELECT *, {_TOKENS.format('text')} AS n, string_split(text, '') AS c FROM x),
+    z AS (SELECT *, round((length(text) % 11) / 11.0::DOUBLE * 2 + least(sent_idx, 9) / 10.0::DOUBLE * 1.5::DOUBLE + (length(text) - length(replace(text, 'e', ''))) / length(text)::DOUBLE * 4
+      + len(list_intersect(list_distinct(c), list_distinct(string_split('{QUESTION}', '')))) / 26.0::DOUBLE * 3, 12) AS score FROM y),
+    o AS (SELECT *, trunc(sum(n) OVER (PARTITION BY sample_id) * 0.5::DOUBLE) AS target, row_number() OVER o AS rn, sum(n) OVER o AS run FROM z WINDOW o AS (PARTITION BY sample_id ORDER BY score DESC, sent_idx)),
+    g AS (SELECT sample_id, string_agg(text, ' ' ORDER BY sent_idx) AS text, sum(n) AS kept, string_agg(sent_idx::VARCHAR, ',' ORDER BY sent_idx) AS places FROM o WHERE run <= target OR rn = 1 GROUP BY 1)
+    SELECT d.sample_id, coalesce(g.text, '') AS compressed_text, coalesce(kept, 0)::INT AS compressed_length, coalesce(places, '') AS preserved_indices FROM d LEFT JOIN g USING (sample_id)""")
 def provider_function(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("question", F.lit(QUESTION))
-    c = Compressor(provider=FunctionProvider(tiny_attention, Detector((2.0, 2.0, 2.0, 2.0), -1.0)))
-    return c.compress_df(d, CompressOptions(compression_rate=0.5)).select("sample_id", "compressed_text", "compressed_length", "preserved_indices")
+    c = Compressor(provider=FunctionProvider(letter_features, Detector((2.0, 1.5, 4.0, 3.0), -1.0)))
+    return c.compress_df(d, CompressOptions(compression_rate=0.5)).select("sample_id", "compressed_text", "compressed_length", _csv(F.col("preserved_indices")).alias("preserved_indices"))
 
 
 @query(f"""WITH {_D}, {_LEX} SELECT v.sample_id, v.sent_idx, v.text AS sentence, round(v.score, 9) AS score, run <= target OR rn = 1 AS kept FROM v""")
