@@ -84,7 +84,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *(n(k) for k in pii.KINDS[:-1]), F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *(n(k) for k in pii.KINDS[:-1]), F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def _mix_sql(mix: mixing.Mix) -> str:
@@ -120,6 +120,54 @@ def _mix_sql(mix: mixing.Mix) -> str:
         SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS copies FROM o"""
 
 
+def _matches_sql(kind: str, k: int, pattern: str, holds: str) -> str:
+    """Leftmost matches with the text before each: the lengths add up to places."""
+    part = lambda group: f"regexp_extract_all(t, '(?s)(.*?)({pattern})', {group})"
+    return f"""SELECT * FROM (SELECT doc_id, {k} AS k, '{kind}' AS kind, m, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS a, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e
+          FROM (SELECT doc_id, unnest({part(1)}) AS gap, unnest({part(2)}) AS m, unnest(range(len({part(2)}))) AS i FROM d)) WHERE {holds}"""
+
+
+def _pii_sql(disclosure: float = pii.DISCLOSURE, support: int = pii.SUPPORT) -> str:
+    """Base spans and disclosing terms, without the operator's bounds on which pairs are made: every pair of an entity
+    and a word of its texts is weighed."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[length({digits}) - i]::INT WHEN {digits}[length({digits}) - i]::INT > 4 THEN {digits}[length({digits}) - i]::INT * 2 - 9 ELSE {digits}[length({digits}) - i]::INT * 2 END)) % 10 = 0"
+    octets = "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0"
+    base = " UNION ALL ".join(
+        _matches_sql(kind, k, pattern, holds)
+        for k, (kind, pattern, holds) in enumerate(
+            (
+                ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+                ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", octets),
+                ("card", r"[0-9](?:[ -]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"),
+                ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+            )
+        )
+    )
+    word = r"[\p{L}\p{N}]+"
+    weighed = r"^\p{L}{" + str(pii.LEAST_LETTERS) + r",}$|^\p{Lu}|\p{N}|[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+    line = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k, e)"
+    n = "count(*) FILTER (WHERE kind = '{0}') AS n_{0}"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        base AS MATERIALIZED ({base}),
+        uncovered AS (SELECT doc_id, k, a, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY a, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM (SELECT doc_id, k, a, e FROM base UNION ALL SELECT doc_id, 9, length(t), length(t) FROM d WHERE doc_id IN (SELECT doc_id FROM base))),
+        outside AS (SELECT doc_id, any_value(t) AS t, string_agg(substr(t, was + 1, greatest(a - was, 0)), ' ' ORDER BY a, k) AS s FROM uncovered JOIN d USING (doc_id) GROUP BY 1),
+        words AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(t), '{word}'), lambda w: length(w) > 1)) AS term FROM d),
+        counts AS (SELECT term, count(*) AS n_term FROM words GROUP BY 1),
+        candidates AS (SELECT DISTINCT t, unnest(list_transform(list_filter(regexp_extract_all(s, '{word}'), lambda w: length(w) > 1 AND regexp_matches(w, '{weighed}')), lambda w: lower(w))) AS term FROM outside),
+        mentions AS (SELECT t, m AS entity, count(DISTINCT doc_id) AS n FROM base JOIN d USING (doc_id) GROUP BY 1, 2),
+        known AS (SELECT entity, sum(n)::DOUBLE AS n_entity FROM mentions GROUP BY 1 HAVING count(*) >= {support} AND sum(n) < (SELECT count(*) FROM d)),
+        pairs AS (SELECT entity, term, sum(n)::DOUBLE AS n_both FROM mentions JOIN known USING (entity) JOIN candidates USING (t) GROUP BY 1, 2 HAVING count(*) >= {support}),
+        terms AS (SELECT DISTINCT term FROM pairs JOIN known USING (entity) JOIN counts USING (term), (SELECT count(*)::DOUBLE AS n_all FROM d) WHERE log2(n_both * n_all / (n_term * n_entity)) / log2(n_all / n_entity) >= {disclosure}::DOUBLE),
+        marked AS ({_matches_sql("term", len(pii.KINDS) - 1, word, "lower(m) IN (SELECT term FROM terms)")}),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM marked),
+        b AS (SELECT doc_id, {", ".join(n.format(k) for k in pii.KINDS[:-1])}, {line} AS spans FROM base GROUP BY 1),
+        s AS (SELECT doc_id, {line} AS spans, count(*) AS n_spans FROM every GROUP BY 1)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS[:-1])}, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_ann": op2_ann,
@@ -178,4 +226,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+    "op10_pii": _pii_sql(),
 }

@@ -17,7 +17,7 @@ COLUMNS = {
     "op7_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_quality": ["doc_id", "held_out", "score", "predicted"],
     "op9_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
-    "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
 }
 
 
