@@ -29,9 +29,8 @@ def test_matches_sql(spark, db, data, name):
     assert rows(got.select(columns).toPandas()) == rows(want[columns])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_gives_rows(spark, data, name):
-    assert QUERIES[name](spark, data).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
