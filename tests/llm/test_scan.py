@@ -149,6 +149,37 @@ def test_secrets_of_any_length():
         assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == [literal]
 
 
+def test_constants_of_any_number_of_pieces():
+    """A name carries all pieces of a constant through other expressions, as brute force over them has it; literals that
+    double with each line are not written out."""
+    grown = "part = 'x0y'\n" + "".join(f"part = part + 'x{i}y'\n" for i in range(1, 200)) + "other = part\n" + f"client_secret = other + '{K}'"
+    assert [grown[a:b] for a, b, _ in sorted(secrets.literal_spans(grown))] == [f"x{i}y" for i in range(200)] + [K]
+    written = [(value, start, end) for name, value, start, end in secrets.name_literals(grown) if name == "client_secret"]
+    assert [(a, b) for _, a, b in written] == [(a, b) for a, b, _ in sorted(secrets.literal_spans(grown))]
+    assert {v for v, _, _ in written} == {"".join(f"x{i}y" for i in range(200)) + K}
+    split = "A = '" + "', '".join("q8Rz7Tn2") + "'\n" + "B = " + " + ".join(f"'{c}'" for c in K * 5) + "\ntoken = B"
+    assert [split[a:b] for a, b, _ in secrets.literal_spans(split)] == ["' + '".join(K * 5)]
+    doubled = f"part = '{K}'\n" + "part = part + part\n" * 5000 + "password = part"
+    assert [doubled[a:b] for a, b, _ in secrets.literal_spans(doubled)] == [K]
+
+
+def test_scores_of_parts():
+    """The measures of parts, added up, score as the literal that they make."""
+    draw = np.random.default_rng(7)
+    some = ["x", "X", " ", "\n", "*", "a", "B", "7", "<", ">", "_", "${", "your ", "os.environ", "\u2003"]
+    scores = []
+    for _ in range(2000):
+        letters = draw.choice(some, draw.integers(1, 5))
+        parts = ["".join(draw.choice(letters, draw.integers(0, 9))) for _ in range(draw.integers(1, 9))]
+        value = "".join(parts)
+        whole = secrets.total([secrets.measure(p) for p in parts])
+        assert bool(secrets.PLACEHOLDERS.match(secrets._sample(whole))) == bool(secrets.PLACEHOLDERS.match(value))
+        assert whole.inner == (" " in value.strip()) and list(whole.counts) == list(dict.fromkeys(value))
+        assert secrets.measured_score(whole) == secrets.literal_score(value)
+        scores.append(secrets.literal_score(value))
+    assert min(scores) == 0 < max(scores)
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
