@@ -11,8 +11,9 @@ asks of the words anywhere in the texts that mention it how strongly they reveal
 
 ``PMI / IC`` is the share of what is to be known about *e* that *t* discloses: 1 if *t* never occurs
 without it. Terms that reach ``DISCLOSURE`` with support in at least ``SUPPORT`` distinct texts are
-marked as ``term`` wherever they occur, and ``sanitise`` generalises entities to their kind and
-removes such terms.
+marked wherever they occur, and ``sanitise`` generalises entities to their kind and removes such terms.
+All words are weighed. ``term`` spans are those of words that reach it by the texts in which they stand in a form of
+``LEAST_LETTERS``; those that reach it by all of their texts only are ``weak`` spans, in a column of their own.
 
 Shuffles: (term, count) after partial sums for the counts over all texts, the words of texts that
 hold an entity, and (entity, term) pairs. As ``p(t, e)`` is at most ``p(e)``, a term in more than
@@ -41,8 +42,10 @@ DISCLOSURE = 0.9
 SUPPORT = 3
 #: Disclosing terms that may be broadcast to the texts; more of them meet the words in a shuffle.
 BROADCAST_TERMS = 200_000
-#: The shortest words that are weighed. Those with a capital, a digit or an East Asian letter are weighed from two characters.
+#: The shortest words that make ``term`` spans. Those with a capital, a digit or an East Asian letter make them from two characters.
 LEAST_LETTERS = 4
+#: The kind of the other disclosing words, listed after ``KINDS``.
+WEAK = "weak"
 #: Words in more than this share of the rows are broadcast to be left out before the others meet their counts.
 COMMON = 0.005
 
@@ -116,7 +119,7 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_kind(text, k) for k in KINDS[:-1])))
 
 
-_WORD = r"([\p{L}\p{N}]{2,}+)"
+_WORD = r"([\p{L}\p{N}]++)"
 _WEIGHED = rf"^\p{{L}}{{{LEAST_LETTERS},}}$|^\p{{Lu}}|\p{{N}}|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}]"
 
 
@@ -125,16 +128,17 @@ def _words(text: Column) -> Column:
 
 
 def _weighed(text: Column, spans: Column) -> Column:
-    """The distinct words that may be terms, in lower case, of a text without its spans."""
+    """The distinct words of a text without its spans, as structs of the word in lower case and whether its form makes terms."""
     ends = F.aggregate(spans, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
     starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
     between = F.zip_with(starts, ends, lambda start, end: F.substring(text, end + 1, F.greatest(start - end, F.lit(0))))
     words = F.regexp_extract_all(F.array_join(between, " "), F.lit(_WORD), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike(_WEIGHED)), F.lower))
+    return F.array_distinct(F.transform(words, lambda w: F.struct(F.lower(w).alias("term"), ((F.length(w) > 1) & w.rlike(_WEIGHED)).alias("strong"))))
 
 
 def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``term`` of every word that gives an entity away; ``rows`` has ``t`` and its base ``spans``.
+    """``term`` of every word that gives an entity away, and whether it is ``strong``: whether the texts where its form makes
+    terms are enough for that. ``rows`` has ``t`` and its base ``spans``.
 
     Shares are shares of rows, and a word shares a row with an entity wherever in the text the two stand.
     Support counts distinct texts, so copying a text makes nothing in it disclosing. An entity in fewer
@@ -147,22 +151,24 @@ def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, support: i
     mentions = written(mentions.join(known.drop("texts"), "entity"))
     most = mentions.agg(F.max("n_entity")).first()[0]
     if most is None:
-        return rows.sparkSession.createDataFrame([], "term string")
+        return rows.sparkSession.createDataFrame([], "term string, strong boolean")
     bound = lambda n: F.lit(float(n_all)) ** (1 - disclosure) * n**disclosure * (1 + 1e-9)
     highest = n_all ** (1 - disclosure) * most**disclosure * (1 + 1e-9)
     counts = written(rows.select(F.explode(F.array_distinct(_words(F.col("t")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support))
     rare, common = counts.where(F.col("n_term") <= highest), counts.where(F.col("n_term") > max(highest, COMMON * n_all)).select("term")
     # one row of each text: its words are the same in all of them
-    texts = held.join(mentions.select("text").distinct(), "text", "left_semi").select("text", F.explode(_weighed(F.col("t"), F.col("spans"))).alias("term"))
-    texts = texts.join(F.broadcast(common), "term", "left_anti").distinct().join(F.broadcast(rare) if rare.count() <= BROADCAST_TERMS else rare, "term")
+    texts = held.join(mentions.select("text").distinct(), "text", "left_semi").select("text", F.inline(_weighed(F.col("t"), F.col("spans"))))
+    texts = texts.join(F.broadcast(common), "term", "left_anti").groupBy("text", "term").agg(F.max("strong").alias("strong")).join(F.broadcast(rare) if rare.count() <= BROADCAST_TERMS else rare, "term")
     pairs = texts.join(mentions, "text").where(F.col("n_term") <= bound(F.col("n_entity")))
-    scored = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(F.count("*").alias("support"), F.sum("n").alias("n_both")).where(F.col("support") >= support)
-    share = F.log2(F.col("n_both") * n_all / (F.col("n_term") * F.col("n_entity"))) / F.log2(n_all / F.col("n_entity"))
-    return scored.where(share >= disclosure).select("term").distinct()
+    sums = [F.count("*").alias("support"), F.sum("n").alias("n_both"), F.count_if("strong").alias("support_strong"), F.sum(F.when(F.col("strong"), F.col("n")).otherwise(0)).alias("n_strong")]
+    scored = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(*sums).where(F.col("support") >= support)
+    share = lambda n: F.log2(F.col(n) * n_all / (F.col("n_term") * F.col("n_entity"))) / F.log2(n_all / F.col("n_entity"))
+    strong = F.when(F.col("support_strong") >= support, share("n_strong") >= disclosure).otherwise(False)
+    return scored.where(share("n_both") >= disclosure).groupBy("term").agg(F.max(strong).alias("strong"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """One row per input row: ``id, t, base, spans``, arrays of ``struct<start, k, end, kind, m>``.
+    """One row per input row: ``id, t, base, spans, weak``, arrays of ``struct<start, k, end, kind, m>``.
 
     Null texts are empty; empty texts, and an empty table, have no spans. Ids may be null or
     repeated: terms are looked up by a hash of the text. Texts and words are read whole. Ties
@@ -171,26 +177,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = written(rows.withColumn("spans", base_spans(F.col("t"))))  # patterns are looked for once, and read five times
     terms = written(disclosing_terms(rows, disclosure, support))
+    named = lambda strong: F.nullif(F.concat_ws("|", F.array_sort(F.collect_set(F.when(F.col("strong") == strong, F.col("term"))))), F.lit(""))
     hits = (
         rows.select(F.xxhash64("t").alias("text"), F.explode(F.array_distinct(_words(F.col("t")))).alias("term"))
-        .join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
+        .join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term")
         .distinct()
         .groupBy("text")
-        .agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("terms"))
+        .agg(named(True).alias("terms"), named(False).alias("weak"))
     )
     hits = written(hits)
     # texts without such a term stay where they are
     marked = sifted(rows.withColumn("text", F.xxhash64("t")), F.col("text"), sieve(hits, F.col("text")), "may")
-    met = marked.where("may").join(hits, "text", "left").select("id", "t", "spans", "terms")
-    found = marked.where("not may").select("id", "t", "spans", F.lit(None).cast("string").alias("terms")).unionByName(met)
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.col("terms"), F.lit(r")(?![\p{L}\p{N}])"))
-    term_spans = F.when(F.col("terms").isNull(), F.array().cast("array<struct<start:int,k:int,end:int,kind:string,m:string>>")).otherwise(_term_spans(F.col("t"), pattern))
-    return found.select("id", "t", F.col("spans").alias("base"), F.array_sort(F.concat("spans", term_spans)).alias("spans"))
+    met = marked.where("may").join(hits, "text", "left").select("id", "t", "spans", "terms", "weak")
+    none = F.lit(None).cast("string")
+    found = marked.where("not may").select("id", "t", "spans", none.alias("terms"), none.alias("weak")).unionByName(met)
+    spans = F.array_sort(F.concat("spans", _term_spans(F.col("t"), F.col("terms"), KINDS[-1], len(KINDS) - 1)))
+    return found.select("id", "t", F.col("spans").alias("base"), spans.alias("spans"), _term_spans(F.col("t"), F.col("weak"), WEAK, len(KINDS)).alias("weak"))
 
 
-def _term_spans(text: Column, pattern: Column) -> Column:
+def _term_spans(text: Column, words: Column, kind: str, k: int) -> Column:
+    """Where ``words``, joined by bars, stand in a text; none if they are null."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), words, F.lit(r")(?![\p{L}\p{N}])"))
     found = _placed(text, F.regexp_extract_all(text, pattern, F.lit(1)), F.call_function("split", text, pattern, F.lit(-1)))
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("k"), x["end"].alias("end"), F.lit("term").alias("kind"), x["m"].alias("m")))
+    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m")))
+    return F.when(words.isNull(), F.array().cast("array<struct<start:int,k:int,end:int,kind:string,m:string>>")).otherwise(spans)
 
 
 def joined_spans(spans: Column) -> Column:
@@ -199,15 +209,15 @@ def joined_spans(spans: Column) -> Column:
 
 def sanitise(found: DataFrame) -> DataFrame:
     """``id, t`` of ``find``'s rows with each entity replaced by its kind in brackets and each
-    disclosing term removed. Where spans overlap, the one that starts first is replaced and what
+    disclosing word removed, weak ones too. Where spans overlap, the one that starts first is replaced and what
     the others have beyond it is removed with them."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        label = F.when(fresh & (s["kind"] != "term"), F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+        label = F.when(fresh & ~s["kind"].isin(KINDS[-1], WEAK), F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
         keep = F.when(fresh, F.substring(F.col("t"), acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(keep, label)).alias("out"))
 
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
+    text = F.aggregate(F.array_sort(F.concat("spans", "weak")), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
     return found.select("id", text.alias("t"))

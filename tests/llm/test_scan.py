@@ -259,6 +259,33 @@ def test_disclosing_terms_of_whole_texts(spark):
     assert not any(got[i] for i in range(86, 88))
 
 
+def test_every_word_is_weighed(spark, tmp_path):
+    """Short words in lower case, single characters, short words of other scripts, capitals inside, and a name that has its
+    capital in some texts only: terms and weak spans together are what brute force over all words finds, and terms those of the SQL."""
+    rows = [f"{prose(300 + i, 40)} kim {'Bob' if i < 2 else 'bob'} علي 李 eX of q {prose(350 + i, 30)} to Zanzivar jo@mail.org" for i in range(6)]
+    rows += [f"of to {prose(i, 60)}" for i in range(80)] + [f"lo@mail.org sam {i}" for i in range(2)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").write.parquet(path)
+    found = pii.find(spark.read.parquet(path))
+    got = {r.id: r for r in found.collect()}
+    n, words = len(rows), [set(re.findall(r"[^\W_]+", t.lower())) for t in rows]
+    bare = [set(re.findall(r"[^\W_]+", t.lower().replace("jo@mail.org", " "))) for t in rows[:6]]
+    counts = {w: (sum(w in x for x in words), sum(w in x for x in bare)) for w in set.union(*bare)}
+    discloses = {w for w, (n_term, n_both) in counts.items() if n_both >= 3 and np.log2(n_both * n / (n_term * 6)) / np.log2(n / 6) >= 0.9}
+    weak = {"kim", "bob", "علي", "李", "ex", "q"}
+    assert weak < discloses and not discloses & {"of", "to"}
+    for i, t in enumerate(rows):
+        marks = [(s.kind, s.start, s.end) for s in sorted(got[i].spans + got[i].weak) if s.kind in ("term", "weak")]
+        assert marks == [("weak" if m[0].lower() in weak else "term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in discloses]
+    clean = {r.id: set(re.findall(r"[^\W_]+", r.t.lower())) for r in pii.sanitise(found).collect()}
+    assert not any(clean[i] & discloses for i in range(6)) and "email" in clean[0]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    table = op10_pii(spark, str(tmp_path)).toPandas()
+    want = con.sql(ORACLE_SQL["op10_pii"]).df()[table.columns]
+    assert sorted(map(str, table.values.tolist())) == sorted(map(str, want.values.tolist()))
+
+
 def test_terms_are_those_of_the_sql(spark, tmp_path):
     """Two addresses with terms of their own, shared words, overlapping spans, copies, and the texts of the base patterns."""
     rows = [f"Ann {prose(300 + i, 40)}\nasset KX7 {prose(350 + i, 30)} 张伟 ask +1 202 555 0100 at jo@mail.org {prose(390 + i, 20)} ann of it" for i in range(6)]
