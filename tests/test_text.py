@@ -36,6 +36,23 @@ def test_sync_takes_the_rest_when_a_start_is_missing(spark):
     assert one(spark, T.sync_sentences(F.col("s"), F.col("t")), s=["ab.", "cd.", "ef."], t="  ab. cd.\n ef. ") == ["  ab. ", "cd.\n ", "ef. "]
 
 
+def test_code_blocks_and_sync_of_long_texts(spark):
+    """Linear in the text; blank lines, endings and white space of all kinds as row by row."""
+    import random
+    import time
+
+    r = random.Random(3)
+    bits = ["a", "b1", ";", "{", ":", '"""', "'", "\n", "\n", "\n", " ", "\t", "\u00a0", "中", "12"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(50))) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(x.b == rowwise.split_code(x.t, 1) for x in d.select("t", T.split_code(F.col("t")).alias("b")).collect())
+    long = spark.createDataFrame([("".join(f"x{i} = 1\ny = {i};\n" for i in range(40_000)), [f"Sentence {i} ends." for i in range(40_000)])], "c string, s array<string>")
+    long = long.withColumn("t", F.array_join("s", "\n"))
+    began = time.perf_counter()
+    got = long.select(F.size(T.split_code(F.col("c"))).alias("blocks"), F.size(T.sync_sentences(F.col("s"), F.col("t"))).alias("pieces")).first()
+    assert (got.blocks, got.pieces) == (40_000, 40_000) and time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize(("kind", "out", "chunk"), [("code", "\n\n", "\n\n"), ("fewshot", "\n\n", "\n\n"), ("english", " ", " "), ("chinese", " ", "")])
 def test_separators(spark, kind, out, chunk):
     s = F.array(F.lit("今天。"), F.lit("明天。"))
