@@ -260,6 +260,25 @@ def test_true_spans_of_a_long_text(spark):
     assert (got.n, got.e) == (30_000, len(text)) and time.perf_counter() - began < 10
 
 
+def test_prompts_are_cut_while_they_are_read(spark):
+    """Encoders stop at their limit, and pooling gives the means of overlapping, missing and single-token spans."""
+    text = "Words 12, and more. " * 2_000
+    for counter in (RegexTokenCounter(), CharTokenCounter(3)):
+        encode = counter.encoder()
+        assert encode(text, 7) == tuple(x[:7] for x in encode(text)) and len(encode(text)[0]) > 7
+        from quern.operators.placed import encode_each
+
+        texts = [text, "", "ab", "cd 𝒳é! x y z 1 2"]
+        assert [tuple(map(list, e)) for e in encode_each(texts, counter, 7)] == [encode(t, 7) for t in texts]
+    rng = np.random.default_rng(1)
+    q, k, spans = rng.normal(size=(4, 8)), rng.normal(size=(2, 40, 8)), [(3, 9), None, (9, 9), (8, 20), (30, 36), None]
+    raw = np.einsum("hd,htd->ht", q, np.repeat(k, 2, axis=0)) * 0.3
+    p = np.exp(raw) / np.exp(raw).sum(1, keepdims=True)
+    ratio = p / p[:, 3:37].sum(1, keepdims=True)
+    want = [ratio[:, s[0] : s[1] + 1].mean(1) if s else np.zeros(4) for s in spans]
+    assert np.allclose(attention_probe(q, k, spans, (3, 36), 0.3), want, rtol=1e-12)
+
+
 def test_windows_of_the_attention_tokenizer(spark):
     """Pieces of an oversized sentence are measured by the counter that the pass is measured by."""
     import public_tokenizers
